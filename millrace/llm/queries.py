@@ -105,8 +105,8 @@ _REPEATS = """
 WITH n AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT doc_id, list_transform(range(length(h) // 2 - 99), lambda s: md5(substr(h, 2 * s + 1, 200))) AS ks FROM n WHERE length(h) >= 200),
 x AS (SELECT doc_id, unnest(ks) AS k, unnest(range(len(ks))) AS s FROM w),
-f AS (SELECT k, min((doc_id, s)) AS first FROM x GROUP BY k HAVING count(*) > 1),
-late AS (SELECT x.doc_id, s FROM x JOIN f USING (k) WHERE (x.doc_id, s) <> first),
+f AS (SELECT k, min(doc_id * 4294967296 + s) AS first FROM x GROUP BY k HAVING count(*) > 1),
+late AS (SELECT x.doc_id, s FROM x JOIN f USING (k) WHERE x.doc_id * 4294967296 + s <> first),
 i AS (SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100, true) AS fresh FROM late),
 g AS (SELECT doc_id, s, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM i),
 r AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM g GROUP BY doc_id, g),
