@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Labelled rows that a chain is fitted on at most, chosen by a hash of their id.
-SAMPLE = 10_000
-#: Words that each link of the chain may use.
+SAMPLE = 6_000
+#: Words and beginnings of words that each link of the chain may use.
 TERMS = 256
 FOLDS = 5
+#: Bytes of words' beginnings that are terms beside the words: inflected forms of a word share one.
+STEMS = (4, 5, 6, 7, 8)
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -25,6 +27,11 @@ def words(text: str | None) -> set[bytes]:
     return set((text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split())
 
 
+def beginnings(found: set[bytes], length: int) -> set[bytes]:
+    """The first bytes of words that have as many, marked by a star, which no word holds."""
+    return {w[:length] + b"*" for w in found if len(w) >= length}
+
+
 @dataclass
 class Link:
     """A logistic model over the presence of some words and the log-odds of the links before it."""
@@ -44,6 +51,9 @@ class Chain:
     def probabilities(self, texts: Sequence[str | None]) -> np.ndarray:
         found = [words(t) for t in texts]
         before = np.zeros((len(found), 0))
+        used = [n for n in STEMS if any(t[-1:] == b"*" and len(t) == n + 1 for link in self.links for t in link.terms)]
+        known = {t for link in self.links for t in link.terms}
+        found = [ws.union(*(beginnings(ws, n) for n in used)) & known for ws in found]
         for link in self.links:
             at = {w: i for i, w in enumerate(link.terms)}
             x = np.zeros((len(found), len(at)))
@@ -90,6 +100,21 @@ def _fit_link(rows: np.ndarray, codes: np.ndarray, names: list[bytes], y: np.nda
     return link, np.clip(full @ link.weights, -30, 30)
 
 
+def with_beginnings(rows: np.ndarray, codes: np.ndarray, names: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """One entry for each distinct term of each row, from one for each distinct word of each row."""
+    at = {w: i for i, w in enumerate(names)}
+    terms, columns = list(names), [codes]
+    for n in STEMS:
+        of = np.array([at.setdefault(w[:n] + b"*", len(at)) if len(w) >= n else -1 for w in names], dtype=np.int64)
+        terms += [None] * (len(at) - len(terms))
+        columns.append(of[codes])
+    for w, i in at.items():
+        terms[i] = w
+    rows, codes = np.tile(rows, len(columns)), np.concatenate(columns)
+    pairs = np.unique((rows * len(terms) + codes)[codes >= 0])
+    return pairs // max(len(terms), 1), pairs % max(len(terms), 1), terms
+
+
 def fit_chain(texts: DataFrame, categories: Sequence[str], text_col: str = "text", id_col: str = "doc_id", terms: int = TERMS, folds: int = FOLDS) -> Chain:
     """texts: labelled rows, a bounded sample, with 0/1 columns named by categories (null: 0).
 
@@ -105,11 +130,11 @@ def fit_chain(texts: DataFrame, categories: Sequence[str], text_col: str = "text
     ys = [F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(f"y{i}") for i, c in enumerate(categories)]
     shape = "id long, words array<binary>, " + ", ".join(f"y{i} int" for i in range(len(categories)))
     got = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *ys).mapInArrow(bags, shape).toArrow().sort_by("id")
-    flat = pa.chunked_array([c for c in got["words"].combine_chunks().flatten().dictionary_encode().chunks] if isinstance(got["words"].combine_chunks(), pa.ChunkedArray) else [got["words"].combine_chunks().flatten().dictionary_encode()]).combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    names, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy()
-    sizes = np.array([len(x) for x in got["words"].to_pylist()], dtype=int)
-    rows = np.repeat(np.arange(len(sizes)), sizes)
+    bags_ = got["words"].combine_chunks()
+    bags_ = pa.concat_arrays(bags_.chunks) if isinstance(bags_, pa.ChunkedArray) else bags_
+    flat = bags_.flatten().dictionary_encode()
+    names, sizes = flat.dictionary.to_pylist(), bags_.value_lengths().to_numpy().astype(int)
+    rows, codes, names = with_beginnings(np.repeat(np.arange(len(sizes)), sizes), flat.indices.to_numpy().astype(np.int64), names)
     fold = np.arange(len(sizes)) % folds
     before, links = np.zeros((len(sizes), 0)), []
     for i in range(len(categories)):
@@ -138,7 +163,7 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str]
     """docs with a double column p_<category> for each category, predicted in the given order.
 
     The chain is fitted on at most `sample` labelled rows of train_docs (docs if not given), whole
-    texts; the model, at most 256 words for each category, goes to the executors and every row is
+    texts; the model, at most TERMS words and beginnings of words for each category, goes to the executors and every row is
     scored by its whole text. Null or empty text: no words. Null ids are scored, never trained on.
     Repeated rows are scored alike; an id labelled more than once counts as labelled if any row says
     so. No labels, or one class only: that class's probability. Empty docs: no rows. Columns named
