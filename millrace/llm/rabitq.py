@@ -71,6 +71,23 @@ def fit_index(sample: np.ndarray, n_lists: int, seed: int = 2024) -> Index:
     return Index(centres, turn)
 
 
+def choose_probes(index: Index, sample: np.ndarray, k: int, recall: float = 0.97, n_queries: int = 400) -> int:
+    """How many lists queries must visit to find so large a share of their k nearest, by the sample: the
+    nearest of a few hundred of its vectors by brute force, and the places of their lists in the queries' order."""
+    n = len(index.centres)
+    if n == 1 or len(sample) < 2:
+        return n
+    q = sample[:: max(1, len(sample) // n_queries)][:n_queries]
+    score = q @ sample.T
+    score[np.arange(len(q)), np.arange(len(q)) * max(1, len(sample) // n_queries)] = -np.inf
+    best = np.argsort(-score, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+    order = np.argsort(-(q @ index.centres.T), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(n)[None, :], axis=1)
+    visited = np.sort(np.take_along_axis(place, index.assign(sample)[best], axis=1).ravel())
+    return int(visited[min(len(visited) - 1, int(recall * len(visited)))]) + 1
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     """The vectors, in double precision."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
@@ -105,8 +122,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, probes: int | None = None
 
     is_query: a condition on vectors; candidates are all rows but those with the query's own id. Ties go to
     the smaller id. Vectors are put in lists (as many as the root of their number, up to a twentieth of the
-    sample) by their nearest centre; a query visits the `probes` lists (default: a quarter, 16 at
-    least) whose centres have the largest inner product with it. Every row is indexed; only
+    sample) by their nearest centre; a query visits the `probes` lists (default: by choose_probes(), so that
+    97 % of the nearest are found) whose centres have the largest inner product with it. Every row is indexed; only
     the centres come from a sample of at most `sample` rows. Within a list, one-bit codes
     choose what is compared exactly.
 
@@ -131,7 +148,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, probes: int | None = None
     drawn = _matrix(drawn, dim)
     index = fit_index(drawn, lists or max(1, min(math.isqrt(n), len(drawn) // 20)))
     n_lists = len(index.centres)
-    probes = min(n_lists, probes or max(16, n_lists // 4))
+    probes = min(n_lists, probes or choose_probes(index, drawn, k))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
