@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,8 @@ TERMS = 256
 FOLDS = 5
 #: Bytes of words' beginnings that are terms beside the words: inflected forms of a word share one.
 STEMS = (4, 5, 6, 7, 8)
+#: Rows of the sample that must have a term for it to count.
+LEAST = 3
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -100,19 +103,28 @@ def _fit_link(rows: np.ndarray, codes: np.ndarray, names: list[bytes], y: np.nda
     return link, np.clip(full @ link.weights, -30, 30)
 
 
-def with_beginnings(rows: np.ndarray, codes: np.ndarray, names: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """One entry for each distinct term of each row, from one for each distinct word of each row."""
-    at = {w: i for i, w in enumerate(names)}
-    terms, columns = list(names), [codes]
-    for n in STEMS:
-        of = np.array([at.setdefault(w[:n] + b"*", len(at)) if len(w) >= n else -1 for w in names], dtype=np.int64)
-        terms += [None] * (len(at) - len(terms))
-        columns.append(of[codes])
-    for w, i in at.items():
-        terms[i] = w
-    rows, codes = np.tile(rows, len(columns)), np.concatenate(columns)
-    pairs = np.unique((rows * len(terms) + codes)[codes >= 0])
-    return pairs // max(len(terms), 1), pairs % max(len(terms), 1), terms
+def bag_of_terms(bags: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Rows and term numbers, one entry for each distinct term of each row, and the terms: words and beginnings
+    that LEAST rows have at least. bags: each row's distinct words. Arrays throughout: words that are too
+    rare never become Python objects."""
+    flat, rows = bags.flatten(), np.repeat(np.arange(len(bags), dtype=np.int32), bags.value_lengths().to_numpy())
+    lengths = pc.binary_length(flat).to_numpy()
+    out_rows, out_codes, terms = [rows[:0]], [rows[:0]], []
+    for n in (0, *STEMS):
+        use = lengths >= n
+        own = flat.filter(pa.array(use)) if n else flat
+        coded = (pc.binary_slice(own, 0, n) if n else own).dictionary_encode()
+        wide = max(len(coded.dictionary), 1)
+        pairs = np.unique(rows[use].astype(np.int64) * wide + coded.indices.to_numpy())
+        codes = (pairs % wide).astype(np.int32)
+        kept = np.bincount(codes, minlength=wide) >= LEAST
+        at = np.cumsum(kept, dtype=np.int32) - 1 + len(terms)
+        stay = kept[codes]
+        out_rows.append((pairs[stay] // wide).astype(np.int32))
+        out_codes.append(at[codes[stay]])
+        some = coded.dictionary.take(pa.array(np.flatnonzero(kept[: len(coded.dictionary)])))
+        terms += [t + b"*" if n else t for t in some.to_pylist()]
+    return np.concatenate(out_rows), np.concatenate(out_codes), terms
 
 
 def fit_chain(texts: DataFrame, categories: Sequence[str], text_col: str = "text", id_col: str = "doc_id", terms: int = TERMS, folds: int = FOLDS) -> Chain:
@@ -132,11 +144,10 @@ def fit_chain(texts: DataFrame, categories: Sequence[str], text_col: str = "text
     got = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *ys).mapInArrow(bags, shape).toArrow().sort_by("id")
     bags_ = got["words"].combine_chunks()
     bags_ = pa.concat_arrays(bags_.chunks) if isinstance(bags_, pa.ChunkedArray) else bags_
-    flat = bags_.flatten().dictionary_encode()
-    names, sizes = flat.dictionary.to_pylist(), bags_.value_lengths().to_numpy().astype(int)
-    rows, codes, names = with_beginnings(np.repeat(np.arange(len(sizes)), sizes), flat.indices.to_numpy().astype(np.int64), names)
-    fold = np.arange(len(sizes)) % folds
-    before, links = np.zeros((len(sizes), 0)), []
+    rows, codes, names = bag_of_terms(bags_)
+    n = len(bags_)
+    fold = np.arange(n) % folds
+    before, links = np.zeros((n, 0)), []
     for i in range(len(categories)):
         y = got[f"y{i}"].to_numpy().astype(bool)
         link, _ = _fit_link(rows, codes, names, y, before, np.ones(len(y), dtype=bool), terms)
