@@ -22,6 +22,10 @@ FOLDS = 5
 STEMS = (4, 5, 6, 7, 8)
 #: Rows of the sample that must have a term for it to count.
 LEAST = 3
+#: Chi-square that a term must exceed; high, as there are many thousands of terms to choose from.
+SIGNIFICANT = 20.0
+#: Penalty of the weights.
+RIDGE = 0.3
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -66,7 +70,7 @@ class Chain:
         return 1 / (1 + np.exp(-before))
 
 
-def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _newton(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     """Ridge-penalised logistic regression; column 0 is the intercept, not penalised."""
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[0] = 1e-4
@@ -92,7 +96,7 @@ def _fit_link(rows: np.ndarray, codes: np.ndarray, names: list[bytes], y: np.nda
     want = every * a / b
     chi = np.where(every > 1, (pos - want) ** 2 / np.maximum(want * (1 - a / b) * (1 - every / (b + 1)), 1e-9), 0)
     best = np.argsort(-chi, kind="stable")[:terms]
-    best = best[chi[best] > 6.6]  # 1 % level
+    best = best[chi[best] > SIGNIFICANT]
     at = np.full(len(names), -1)
     at[best] = np.arange(len(best))
     x = np.zeros((n, len(best)))
