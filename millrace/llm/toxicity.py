@@ -24,6 +24,8 @@ STEMS = (4, 5, 6, 7, 8)
 LEAST = 3
 #: Chi-square that a term must exceed; high, as there are many thousands of terms to choose from.
 SIGNIFICANT = 20.0
+#: Texts that are scored at once.
+BATCH = 1_000
 #: Penalty of the weights.
 RIDGE = 0.3
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -54,13 +56,24 @@ class Link:
 class Chain:
     categories: list[str]
     links: list[Link]
+    _whole: set[bytes] | None = None
+    _begun: list[tuple[int, set[bytes]]] = field(default_factory=list)
+
+    def known(self, text: str | None) -> set[bytes]:
+        """The chain's terms that a text has."""
+        if self._whole is None:
+            every = {t for link in self.links for t in link.terms}
+            self._whole = {t for t in every if t[-1:] != b"*"}
+            self._begun = [(n, s) for n in STEMS if (s := {t[:-1] for t in every if t[-1:] == b"*" and len(t) == n + 1})]
+        found = words(text)
+        out = self._whole & found
+        for n, begun in self._begun:  # a shorter word's first n bytes are shorter, too, so never there
+            out.update(b + b"*" for b in begun.intersection([w[:n] for w in found]))
+        return out
 
     def probabilities(self, texts: Sequence[str | None]) -> np.ndarray:
-        found = [words(t) for t in texts]
+        found = [self.known(t) for t in texts]
         before = np.zeros((len(found), 0))
-        used = [n for n in STEMS if any(t[-1:] == b"*" and len(t) == n + 1 for link in self.links for t in link.terms)]
-        known = {t for link in self.links for t in link.terms}
-        found = [ws.union(*(beginnings(ws, n) for n in used)) & known for ws in found]
         for link in self.links:
             at = {w: i for i, w in enumerate(link.terms)}
             x = np.zeros((len(found), len(at)))
@@ -190,7 +203,8 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str]
 
     @F.pandas_udf(kind)
     def score(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(chain.probabilities(list(texts)), columns=[f"p_{c}" for c in categories])
+        some = [chain.probabilities(texts.iloc[i : i + BATCH]) for i in range(0, len(texts), BATCH)]
+        return pd.DataFrame(np.concatenate(some) if some else np.zeros((0, len(categories))), columns=[f"p_{c}" for c in categories])
 
     drop = [f"p_{c}" for c in categories]
     scored = docs.drop(*drop).withColumn("__p", score(F.col(text_col)))
