@@ -28,7 +28,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
 
     Only 16-byte hashes of lines are dealt by key; counts are summed before they are shuffled, and
     the join back to the lines is a plain one that Spark splits where a line is very common. The text
-    moves once, to meet its dropped positions, and not even that where these are few.
+    moves once, to meet its dropped positions, at any size: these grow with the documents, so they
+    are never broadcast.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "line_dedup")
@@ -40,7 +41,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     shared = scratch.keep(shared)
     gone = lines.join(shared, "h").where("id < keep").groupBy("id", "t").agg(F.collect_set("pos").alias("__gone"))
     gone = scratch.keep(gone).select(F.col("id").alias("__id"), F.col("t").alias("__t"), "__gone")
-    out = docs.withColumn("__h", F.xxhash64(text)).join(gone, (F.col(id_col) == F.col("__id")) & (F.col("__h") == F.col("__t")), "left")
+    out = docs.withColumn("__h", F.xxhash64(text)).join(gone.hint("merge"), (F.col(id_col) == F.col("__id")) & (F.col("__h") == F.col("__t")), "left")
     split = F.split(text, "\n", -1)
     stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone")))
     n_gone = F.coalesce(F.size("__gone"), F.lit(0))
