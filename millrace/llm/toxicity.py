@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.scratch import Scratch
+
 #: Labelled rows that a chain is fitted on at most, chosen by a hash of their id.
 SAMPLE = 6_000
 #: Words and beginnings of words that each link of the chain may use.
@@ -120,60 +122,91 @@ def _fit_link(rows: np.ndarray, codes: np.ndarray, names: list[bytes], y: np.nda
     return link, np.clip(full @ link.weights, -30, 30)
 
 
-def bag_of_terms(bags: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Rows and term numbers, one entry for each distinct term of each row, and the terms: words and beginnings
-    that LEAST rows have at least. bags: each row's distinct words. Arrays throughout: words that are too
-    rare never become Python objects."""
-    flat, rows = bags.flatten(), np.repeat(np.arange(len(bags), dtype=np.int32), bags.value_lengths().to_numpy())
-    lengths = pc.binary_length(flat).to_numpy()
-    out_rows, out_codes, terms = [rows[:0]], [rows[:0]], []
-    for n in (0, *STEMS):
-        use = lengths >= n
-        own = flat.filter(pa.array(use)) if n else flat
-        coded = (pc.binary_slice(own, 0, n) if n else own).dictionary_encode()
-        wide = max(len(coded.dictionary), 1)
-        pairs = np.unique(rows[use].astype(np.int64) * wide + coded.indices.to_numpy())
-        codes = (pairs % wide).astype(np.int32)
-        kept = np.bincount(codes, minlength=wide) >= LEAST
-        at = np.cumsum(kept, dtype=np.int32) - 1 + len(terms)
-        stay = kept[codes]
-        out_rows.append((pairs[stay] // wide).astype(np.int32))
-        out_codes.append(at[codes[stay]])
-        some = coded.dictionary.take(pa.array(np.flatnonzero(kept[: len(coded.dictionary)])))
-        terms += [t + b"*" if n else t for t in some.to_pylist()]
-    return np.concatenate(out_rows), np.concatenate(out_codes), terms
+def terms_of(text: str | None) -> set[bytes]:
+    found = words(text)
+    return found.union(*(beginnings(found, n) for n in STEMS))
+
+
+def significant_terms(sample: DataFrame, sizes: np.ndarray, categories: int) -> list[bytes]:
+    """Terms that LEAST rows have and that exceed SIGNIFICANT for some category on some training set: all
+    rows, or all but one fold. sample: text, fold, bits (category i is bit i); sizes: rows by fold and bits.
+
+    Each task counts the terms of its rows by fold and bits; only the sums of a term decide on it.
+    """
+    folds, classes = sizes.shape
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Counter[bytes]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for c, seen in held.items():
+                fold, bits = divmod(c, classes)
+                n = len(seen)
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([fold] * n, pa.int32()), pa.array([bits] * n, pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["term", "fold", "bits", "n"])
+            held.clear()
+
+        for batch in batches:
+            for text, fold, bits in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                held.setdefault(fold * classes + bits, Counter()).update(terms_of(text.as_py()))
+                if sum(map(len, held.values())) > 200_000:
+                    yield from flush()
+        yield from flush()
+
+    seen = sample.select("text", "fold", "bits").mapInArrow(count, "term binary, fold int, bits int, n long")
+    own = lambda fold, what=F.lit(True): F.sum(F.when((F.col("fold") == fold) & what, F.col("n")).otherwise(0))
+    has = lambda c: F.col("bits").bitwiseAND(F.lit(1 << c)) != 0
+    sums = seen.groupBy("term").agg(F.sum("n").alias("all"), *(own(f).alias(f"n{f}") for f in range(folds)), *(own(f, has(c)).alias(f"p{c}_{f}") for f in range(folds) for c in range(categories))).where(F.col("all") >= LEAST)
+    exceeds = F.lit(False)
+    for out in (None, *range(folds)):
+        inside = [f for f in range(folds) if f != out]
+        b = float(sizes[inside].sum())
+        every = sum((F.col(f"n{f}") for f in inside), F.lit(0))
+        for c in range(categories):
+            a = float(sizes[inside][:, [k for k in range(classes) if k >> c & 1]].sum())
+            if 0 < a < b:
+                want, pos = every * (a / b), sum((F.col(f"p{c}_{f}") for f in inside), F.lit(0))
+                chi = (pos - want) * (pos - want) / F.greatest(want * (1 - a / b) * (1 - every / (b + 1)), F.lit(1e-9))
+                exceeds = exceeds | ((every > 1) & (chi > SIGNIFICANT))
+    return sorted(bytes(t) for t in sums.where(exceeds).select("term").toArrow()["term"].to_pylist())
 
 
 def fit_chain(texts: DataFrame, categories: Sequence[str], text_col: str = "text", id_col: str = "doc_id", terms: int = TERMS, folds: int = FOLDS) -> Chain:
     """texts: labelled rows, a bounded sample, with 0/1 columns named by categories (null: 0).
 
     Each link is fitted on all rows; what the next links see of it for training comes from models
-    that did not see the row, one for each fold, so that they learn how far to trust it.
+    that did not see the row, one for each fold, so that they learn how far to trust it. The driver
+    gets the significant terms and the rows' places among these, no texts.
     """
-
-    def bags(batches):
+    y = [F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in categories]
+    bits = sum((F.when(v != 0, 1 << i).otherwise(0) for i, v in enumerate(y)), F.lit(0))
+    fold = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(1)), F.lit(folds)).cast("int")
+    sample = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), fold.alias("fold"), bits.cast("int").alias("bits"))
+    sizes = np.zeros((folds, 1 << len(categories)), dtype=np.int64)
+    for r in sample.groupBy("fold", "bits").agg(F.count("*").alias("n")).collect():
+        sizes[r.fold, r.bits] = r.n
+    names = significant_terms(sample, sizes, len(categories))
+    at = {t: i for i, t in enumerate(names)}
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = batch.to_pydict()
-            yield pa.RecordBatch.from_arrays([pa.array(cols["id"], pa.int64()), pa.array([sorted(words(t)) for t in cols["text"]], pa.list_(pa.binary())), *(pa.array(cols[f"y{i}"], pa.int32()) for i in range(len(categories)))], names=["id", "words", *(f"y{i}" for i in range(len(categories)))])
-
-    ys = [F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(f"y{i}") for i, c in enumerate(categories)]
-    shape = "id long, words array<binary>, " + ", ".join(f"y{i} int" for i in range(len(categories)))
-    got = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *ys).mapInArrow(bags, shape).toArrow().sort_by("id")
-    bags_ = got["words"].combine_chunks()
-    bags_ = pa.concat_arrays(bags_.chunks) if isinstance(bags_, pa.ChunkedArray) else bags_
-    rows, codes, names = bag_of_terms(bags_)
-    n = len(bags_)
-    fold = np.arange(n) % folds
+            found = [[at[t] for t in terms_of(text.as_py()) & at.keys()] for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fold"), batch.column("bits"), pa.array(found, pa.list_(pa.int32()))], names=["id", "fold", "bits", "terms"])
+
+    got = sample.mapInArrow(places, "id long, fold int, bits int, terms array<int>").toPandas().sort_values("id", kind="stable")
+    n, fold_, bits_ = len(got), got["fold"].to_numpy(), got["bits"].to_numpy()
+    lengths = np.array([len(t) for t in got["terms"]], dtype=np.int64)
+    rows = np.repeat(np.arange(n), lengths)
+    codes = np.concatenate([np.asarray(t, dtype=np.int64) for t in got["terms"]]) if n else np.zeros(0, dtype=np.int64)
     before, links = np.zeros((n, 0)), []
     for i in range(len(categories)):
-        y = got[f"y{i}"].to_numpy().astype(bool)
-        link, _ = _fit_link(rows, codes, names, y, before, np.ones(len(y), dtype=bool), terms)
+        y_ = (bits_ >> i & 1).astype(bool)
+        link, _ = _fit_link(rows, codes, names, y_, before, np.ones(n, dtype=bool), terms)
         links.append(link)
         if i + 1 < len(categories):
-            unseen = np.zeros(len(y))
+            unseen = np.zeros(n)
             for k in range(folds):
-                _, odds = _fit_link(rows, codes, names, y, before, fold != k, terms)
-                unseen[fold == k] = odds[fold == k]
+                _, odds = _fit_link(rows, codes, names, y_, before, fold_ != k, terms)
+                unseen[fold_ == k] = odds[fold_ == k]
             before = np.c_[before, unseen]
     return Chain(list(categories), links)
 
@@ -197,8 +230,10 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str]
     so. No labels, or one class only: that class's probability. Empty docs: no rows. Columns named
     p_<category> are replaced.
     """
-    own = labelled(docs if train_docs is None else train_docs, labels, categories, sample, id_col, text_col)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    own = scratch.keep(labelled(docs if train_docs is None else train_docs, labels, categories, sample, id_col, text_col))
     chain = fit_chain(own, categories, text_col, id_col)
+    scratch.drop(own)
     kind = T.StructType([T.StructField(f"p_{c}", T.DoubleType()) for c in categories])
 
     @F.pandas_udf(kind)
