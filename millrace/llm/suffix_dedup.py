@@ -16,7 +16,7 @@ places. A document's windows with the same anchor are consecutive and form a uni
 Units move as packed arrays of about 20 bytes each, not as rows. A task drops repeats of its own
 before it ships anything, so a string that a third of all documents hold costs one entry for
 each task. An anchor with many contents (such a string in many surroundings) is not gathered
-in one task: its units are spread by content, and compared in step 2 by hashes of windows (128
+in one task: its units are spread by content, and compared in step 2 by hashes of windows (96
 bits), which are spread and dropped early in the same way.
 """
 
