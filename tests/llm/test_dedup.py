@@ -176,3 +176,30 @@ def test_simhash_by_definition():
     hs = [xxh64_intdigest(" ".join(w[i : i + 3]), 42) for i in range(len(w) - 2)]
     assert simhash.simhash(text) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
     assert simhash.simhash("É B") == xxh64_intdigest("É b", 42)
+
+
+def test_repeats_of_rows_that_share_an_id(spark):
+    """Many null ids, rows of one id with different texts, and such whose texts' 16-bit hashes agree."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    shared = [prose(rng, 60) for _ in range(5)]
+    rows = [(None, f"{prose(rng, rng.randint(0, 60))}{rng.choice(shared)}{i % 300}") for i in range(600)]
+    some = spark.range(3000).select(F.concat(F.col("id").cast("string"), F.lit(" " + shared[0])).alias("t")).withColumn("h", F.xxhash64("t").bitwiseAND(F.lit(0xFFFF)))
+    seen, clash = {}, None
+    for r in some.collect():
+        clash = clash or ((seen[r.h], r.t) if r.h in seen else None)
+        seen[r.h] = r.t
+    rows += [(5, clash[0]), (5, clash[1] + " and more"), (5, clash[1]), (5, clash[1]), (6, clash[0] + clash[1]), (6, clash[0] + clash[1])]
+    df = spark.createDataFrame([(i, t, "h", 1) for i, t in rows], SHAPE).repartition(4)
+    assert found(suffix_dedup.remove_repeats(df)) == repeats_of(rows)
+
+
+def test_repeats_when_hashes_collide(spark, monkeypatch):
+    """Contents that hashes hold equal are compared by their bytes."""
+    rng = random.Random(12)
+    a, b = prose(rng, 80).encode(), prose(rng, 80).encode()
+    data = np.frombuffer(a + b + a, np.uint8)
+    x = {k: np.array(v, np.int64) for k, v in {"g": [7, 7, 7], "u": [9, 9, 9], "r": [1, 2, 3], "d": [1, 2, 3], "s": [0, 0, 0], "n": [20, 20, 20], "a": [30, 30, 30], "hot": [0, 0, 0], "p": [0, len(a), len(a) + len(b)]}.items()}
+    got = [(r["kind"], r["rows"]) for out in suffix_dedup._ship(x, data, 4, 1, False) for r in out.to_pylist()]
+    assert sorted(got) == [(0, 1), (1, 2)]
