@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def vocabulary() -> str:
     from public_tokenizers import path
 
-    return path("byte_bpe_50k.tiktoken")
+    return path("byte_bpe_50k.json")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

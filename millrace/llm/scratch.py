@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import uuid
@@ -15,8 +16,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset (tests, one machine)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/millrace"
+    """The folder in spark.checkpoint.dir. Where that is unset, one of our own on a single machine; executors of
+    a cluster would each write to their own disk, so there it is an error."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file:///tmp/checkpoints/millrace"
 
 
 class Scratch:

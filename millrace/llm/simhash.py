@@ -16,8 +16,8 @@ from millrace.llm.scratch import Scratch
 
 #: Reference fingerprints whose Hamming distances make a fingerprint's row of the table.
 PIVOTS = np.random.default_rng(20130417).integers(0, 2**64, 24, dtype=np.uint64)
-#: Fingerprints of a block that are compared with one another; larger blocks take the exact way for the rest.
-BLOCK = 1024
+#: Fingerprints of a bucket that are compared with one another; larger ones are split by their distances to so many pivots.
+BLOCK, SPLIT = 1024, 4
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -136,9 +136,11 @@ def link_fingerprints(fps: DataFrame, scratch: Scratch, most: int = 2) -> DataFr
 
     64 bits in `most` + 2 blocks: two fingerprints that near agree on two whole blocks, so each goes to
     one bucket for each pair of blocks. Buckets of up to BLOCK fingerprints are linked by a pivot
-    distance table. Larger ones would need too many comparisons in one task; their members take an
-    exact way whose groups cannot grow: each fingerprint is dealt to itself and to the 64
-    fingerprints one bit away, and those that meet there (65 at most) are within two bits.
+    distance table. A larger one is first split by its first SPLIT coordinates in that table: ranges of
+    `most` + 1 distances, where a fingerprint also goes to the range that `most` more would reach, so
+    that near ones meet in some range of all coordinates. A ball of fingerprints around one centre can still
+    fill a range, at like distances to any pivot; those are dealt to themselves and to the 64 fingerprints one bit
+    away, and what meets there, 65 at most, is within two bits.
     """
     if most > 2:
         raise ValueError("the exact way for large buckets holds for at most 2 differing bits")
@@ -154,7 +156,19 @@ def link_fingerprints(fps: DataFrame, scratch: Scratch, most: int = 2) -> DataFr
     large = counts.where(F.col("n") > BLOCK).drop("n")
     if large.isEmpty():
         return links
-    crowd = keys.join(large, ["c", "k"]).select("fp", "rep").distinct()
+    reach = lambda p: F.array_distinct(F.array(*(F.floor((F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))) + x) / (most + 1)) for x in (0, most))))
+    cells = keys.join(large, ["c", "k"])
+    for i, p in enumerate(PIVOTS[:SPLIT].view(np.int64).tolist()):
+        cells = cells.withColumn(f"p{i}", F.explode(reach(p)))
+    at = [f"p{i}" for i in range(SPLIT)]
+    cells = scratch.keep(cells.select("c", F.xxhash64("k", *at).alias("k"), "fp", "rep"))
+    full = scratch.keep(cells.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1"))
+    some = cells.join(full.where(F.col("n") <= BLOCK).drop("n"), ["c", "k"])
+    links = links.union(some.repartition("c", "k").sortWithinPartitions("c", "k").mapInArrow(_link_blocks(most), "a long, b long"))
+    full = full.where(F.col("n") > BLOCK).drop("n")
+    if full.isEmpty():
+        return links
+    crowd = cells.join(full, ["c", "k"]).select("fp", "rep").distinct()
     flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << i) - (1 << 64) * (i == 63)) for i in range(64)))
     dealt = crowd.select("rep", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("fp")))).alias("z"))
     met = dealt.groupBy("z").agg(F.min("rep").alias("b"), F.collect_list("rep").alias("all")).where(F.size("all") > 1)
@@ -168,7 +182,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, id_col: str
     Texts are taken whole, A-Z lower-cased, in shingles of so many words, repeats included; fewer
     words make one shingle, and none (or a null text) the fingerprint 0, linked like any other. Rows
     with a null id get a null component unless they share a fingerprint with others; they are never
-    a representative. Repeated rows give repeated results. Empty table: no rows.
+    a representative. Repeated rows give repeated results. Very long texts are taken whole. Empty table: no rows.
+    Only id_col is returned of docs' columns, so none can clash with fp or component_id.
 
     Equal fingerprints are one node, so groups of copies of any size cost one row in the links.
     """
