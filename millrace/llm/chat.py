@@ -1,4 +1,4 @@
-"""Chat formatting: layouts are recognised by a fingerprint of their field paths, turns are marked by a
+"""Chat formatting: a fingerprint of their field paths selects the mapping of a layout, turns are marked by a
 template whose control strings are escaped in texts, and a loss mask marks what assistants say."""
 
 from __future__ import annotations
@@ -6,7 +6,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
@@ -56,59 +57,93 @@ def fingerprint(found: Iterable[str]) -> str:
 _NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
 
-def _said(role: Any, text: Any) -> tuple[str, str]:
+def _role(role: Any) -> str:
     role = "" if role is None else str(role)
-    return _NAMES.get(role, role), "" if text is None else text if isinstance(text, str) else json.dumps(text, ensure_ascii=False)
-
-
-def _listed(key: str, role: str, text: str) -> Callable[[dict], list[tuple[str, str]]]:
-    return lambda r: [_said(m.get(role), m.get(text)) for m in r.get(key) or []]
-
-
-def _fields(*pairs: tuple[str, tuple[str, ...]]) -> Callable[[dict], list[tuple[str, str]]]:
-    """One turn for each role, from fields joined by a blank line; empty ones are left out, except the assistant's."""
-
-    def turns(r: dict) -> list[tuple[str, str]]:
-        out = []
-        for role, keys in pairs:
-            text = "\n\n".join(t for k in keys if (t := _said(role, r.get(k))[1]))
-            if text or role == "assistant":
-                out.append((role, text))
-        return out
-
-    return turns
-
-
-#: What turns a record of a layout into turns; keyed by the fingerprint of the layout's paths.
-MAPPINGS: dict[str, Callable[[dict], list[tuple[str, str]]]] = {
-    fingerprint(keys): how
-    for keys, how in (
-        (("role", "text"), lambda r: [_said(r.get("role"), r.get("text"))]),
-        (("role", "content"), lambda r: [_said(r.get("role"), r.get("content"))]),
-        (("messages[].role", "messages[].content"), _listed("messages", "role", "content")),
-        (("messages[].role", "messages[].text"), _listed("messages", "role", "text")),
-        (("conversations[].from", "conversations[].value"), _listed("conversations", "from", "value")),
-        (("prompt", "response"), _fields(("user", ("prompt",)), ("assistant", ("response",)))),
-        (("prompt", "completion"), _fields(("user", ("prompt",)), ("assistant", ("completion",)))),
-        (("system", "prompt", "response"), _fields(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
-        (("question", "answer"), _fields(("user", ("question",)), ("assistant", ("answer",)))),
-        (("instruction", "output"), _fields(("user", ("instruction",)), ("assistant", ("output",)))),
-        (("instruction", "input", "output"), _fields(("user", ("instruction", "input")), ("assistant", ("output",)))),
+    return _NAMES.get(role, role)
+
+
+def _text(text: Any) -> str:
+    return "" if text is None else text if isinstance(text, str) else json.dumps(text, ensure_ascii=False)
+
+
+@dataclass(frozen=True)
+class Mapping:
+    """How a layout becomes turns. paths: the field paths that tell the layout; each: the list whose elements are turns
+    of their own (none: the record itself); turns: (role, text) of each turn. "@x" is the field x, other roles are
+    themselves; a text is one or more fields, joined by a blank line. optional: turns without any text are left
+    out, except the assistant's."""
+
+    paths: tuple[str, ...]
+    turns: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    each: str | None = None
+    optional: bool = False
+
+    @property
+    def key(self) -> str:
+        return fingerprint(self.paths)
+
+
+def _asked(**turns: str | tuple[str, ...]) -> Mapping:
+    """One turn for each role, from fields beside one another."""
+    told = tuple((role, (f,) if isinstance(f, str) else f) for role, f in turns.items())
+    return Mapping(tuple(f for _, fields in told for f in fields), told, optional=True)
+
+
+#: Known layouts by the fingerprint of their paths.
+MAPPINGS: dict[str, Mapping] = {
+    m.key: m
+    for m in (
+        Mapping(("role", "text"), (("@role", ("text",)),)),
+        Mapping(("role", "content"), (("@role", ("content",)),)),
+        Mapping(("from", "value"), (("@from", ("value",)),)),
+        Mapping(("messages[].role", "messages[].content"), (("@role", ("content",)),), "messages"),
+        Mapping(("messages[].role", "messages[].text"), (("@role", ("text",)),), "messages"),
+        Mapping(("conversations[].from", "conversations[].value"), (("@from", ("value",)),), "conversations"),
+        Mapping(("messages[]",)),
+        Mapping(("conversations[]",)),
+        _asked(user="prompt", assistant="response"),
+        _asked(user="prompt", assistant="completion"),
+        _asked(system="system", user="prompt", assistant="response"),
+        _asked(system="system", user="prompt", assistant="completion"),
+        _asked(user="question", assistant="answer"),
+        _asked(user="instruction", assistant="output"),
+        _asked(user=("instruction", "input"), assistant="output"),
     )
 }
 
 
-def canonical(record: dict, mappings: dict | None = None) -> list[tuple[str, str]] | None:
+def layout_of(found: set[str], mappings: dict[str, Mapping] | None = None) -> str | None:
+    """The fingerprint by which paths select a mapping; None where none is known. Of the found paths only those count
+    that a mapping names, so other fields (ids, names, sources) don't hide a layout. Where several fit, the one that names most
+    paths is meant; of these, the first listed."""
+    mappings = MAPPINGS if mappings is None else mappings
+    fits = [k for k, m in mappings.items() if fingerprint(found.intersection(m.paths)) == k]
+    return max(fits, key=lambda k: len(mappings[k].paths), default=None)
+
+
+def canonical(record: dict, mappings: dict[str, Mapping] | None = None) -> list[tuple[str, str]] | None:
     """(role, text) turns of a record; None where no mapping knows its layout."""
-    how = (MAPPINGS if mappings is None else mappings).get(fingerprint(paths(record)))
-    return None if how is None else how(record)
+    key = layout_of(paths(record), mappings)
+    if key is None:
+        return None
+    how = (MAPPINGS if mappings is None else mappings)[key]
+    out = []
+    for r in [record] if how.each is None else record.get(how.each) or []:
+        for role, fields in how.turns:
+            said = "\n\n".join(t for f in fields if (t := _text(r.get(f))))
+            role = _role(r.get(role[1:])) if role.startswith("@") else role
+            if said or not how.optional or role == "assistant":
+                out.append((role, said))
+    return out
 
 
 def turns_from_json(records: DataFrame, json_col: str, id_col: str) -> DataFrame:
     """One row for each turn of each JSON record: id_col, turn, role, text, layout, problem.
 
     Null, empty, invalid records and unknown layouts give one row with null turn and a problem, so
-    that nothing is lost silently. A record without turns gives none of either: problem 'no turns'.
+    that nothing is lost silently. A record without turns gives none of either: problem 'no turns'. layout is the
+    fingerprint of the mapping that was used, or that of all paths of an unknown record. Repeated records and null ids
+    are records like others, very long ones are read whole, and an empty table gives no rows.
     """
     shape = T.ArrayType(T.StructType([T.StructField(n, t()) for n, t in (("turn", T.LongType), ("role", T.StringType), ("text", T.StringType), ("layout", T.StringType), ("problem", T.StringType))]))
 
@@ -118,25 +153,26 @@ def turns_from_json(records: DataFrame, json_col: str, id_col: str) -> DataFrame
             record = json.loads(raw or "")
         except ValueError:
             return [(None, None, None, None, "not JSON")]
-        layout = fingerprint(paths(record))
-        turns = canonical(record) if isinstance(record, dict) else None
-        if turns is None:
-            return [(None, None, None, layout, "unknown layout")]
+        layout = layout_of(paths(record)) if isinstance(record, dict) else None
+        if layout is None:
+            return [(None, None, None, fingerprint(paths(record)), "unknown layout")]
+        turns = canonical(record)
         return [(i, r, t, layout, None) for i, (r, t) in enumerate(turns)] or [(None, None, None, layout, "no turns")]
 
     return records.select(F.col(id_col), F.inline(read(F.col(json_col))))
 
 
 def row_turns(rows: DataFrame) -> DataFrame:
-    """Rows that are turns (any layout of one turn, beside other columns): adds role and text as the
-    row's layout maps them. The layout of a DataFrame is its schema, so its fingerprint is taken once."""
-    layouts = [("role", "text"), ("role", "content"), ("from", "value")]
-    for role, text in layouts:
-        if {role, text} <= schema_paths(rows.schema):
-            names = F.create_map(*(F.lit(x) for kv in _NAMES.items() for x in kv))
-            said = F.coalesce(F.col(role), F.lit(""))
-            return rows.withColumns({"role": F.coalesce(names[said], said) if role == "from" else said, "text": F.coalesce(F.col(text), F.lit(""))})
-    raise ValueError(f"no mapping for rows with {sorted(schema_paths(rows.schema))}")
+    """Rows that are turns, beside other columns: adds role and text as the row's layout maps them. The layout of a
+    DataFrame is its schema: the fingerprint of its paths selects the mapping once for all rows."""
+    turns = {k: m for k, m in MAPPINGS.items() if m.each is None and len(m.turns) == 1 and m.turns[0][0].startswith("@")}
+    key = layout_of(schema_paths(rows.schema), turns)
+    if key is None:
+        raise ValueError(f"no mapping for rows with {sorted(schema_paths(rows.schema))}")
+    (role, texts), = turns[key].turns
+    names = F.create_map(*(F.lit(x) for kv in _NAMES.items() for x in kv))
+    said = F.coalesce(F.col(role[1:]), F.lit(""))
+    return rows.withColumns({"role": F.coalesce(names[said], said) if role != "@role" else said, "text": F.concat_ws("\n\n", *texts)})
 
 
 def _escaped(c: Column) -> Column:

@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 from millrace.llm.scratch import Scratch, partitions
 from millrace.llm.toxicity import words
 
-#: Randomised lexicons, and hex digits of each one's hash in a fingerprint.
-LEXICONS, DIGITS = 32, 4
-#: The band: terms in at most this share of documents, and in one of LARGEST of all (document, term)
-#: pairs at least, so there are at most LARGEST such terms, whatever the corpus.
+#: Randomised lexicons: each of SEEDS draws one of every share of the band's terms, 1/2, 1/4 and so on to 2^-SHARES.
+SEEDS, SHARES = 6, 11
+#: Hex digits of each lexicon's hash in a fingerprint.
+DIGITS = 4
+LEXICONS = SEEDS * SHARES
+#: The band: terms in at most this share of documents, and that make up at least one in LARGEST of all
+#: (document, term) pairs. Both are shares, so the band does not move as a corpus of the same kind grows, and
+#: at most LARGEST terms can be in it.
 MOST, LARGEST = 0.05, 1_000_000
-_SEEDS = np.random.default_rng(2004).integers(0, 2**64, LEXICONS, dtype=np.uint64)
+_SEEDS = np.random.default_rng(2004).integers(0, 2**64, SEEDS, dtype=np.uint64)
+_EMPTY = "0" * DIGITS
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -40,6 +45,8 @@ def lexicon(docs: DataFrame, most: float = MOST, largest: int = LARGEST, text_co
 
     A term is in the band if it is in 2 documents at least, in pairs / largest at least (pairs: distinct
     terms of all documents, summed) and in `most` of the documents at most (2 in a small corpus).
+    Null and empty texts are documents without terms; repeated rows count each; very long texts count whole. Empty
+    table: an empty band. Other columns are not looked at.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,39 +79,53 @@ def lexicon(docs: DataFrame, most: float = MOST, largest: int = LARGEST, text_co
     return got
 
 
-def fingerprint(text: str | None, band: np.ndarray) -> str:
-    """16 hex digits of all the text's terms in the band, then DIGITS for each randomised lexicon.
+def lexicon_hashes(terms: np.ndarray) -> str:
+    """DIGITS hex digits for each randomised lexicon: the hash of its terms among the given ones (sorted,
+    distinct), all zeros where it has none of them.
 
-    Randomised lexicons are nested: level k of one keeps each term with probability 2^-k. Each is hashed
-    at the highest level that the text has terms of, so short and long texts alike hash a term or two.
-    A text without terms in the band is hashed by all its terms; one without terms, by itself.
+    A lexicon was drawn before any text was seen: that of seed j and share 2^-k has the terms whose
+    mix with the seed is below 2^(64-k).
     """
+    from xxhash import xxh64_intdigest
+
+    out = []
+    for seed in _SEEDS:
+        drawn = _mix(terms ^ seed)
+        for k in range(1, SHARES + 1):
+            own = terms[drawn < np.uint64(1 << (64 - k))]
+            if not len(own):
+                out += [_EMPTY] * (SHARES + 1 - k)
+                break
+            out.append(f"{xxh64_intdigest(own.tobytes(), k) % (16**DIGITS - 1) + 1:0{DIGITS}x}")
+    return "".join(out)
+
+
+def fingerprint(text: str | None, band: np.ndarray) -> str:
+    """16 hex digits of the hash of the text's distinct terms in the band, sorted, and DIGITS for each randomised
+    lexicon. A text without terms in the band has no lexicon's terms, and its 16 digits are those of the text itself."""
     from xxhash import xxh64_hexdigest
 
     terms = term_hashes(text)
     if len(band) and len(terms):
-        at = np.minimum(np.searchsorted(band, terms), len(band) - 1)
-        terms = own if len(own := terms[band[at] == terms]) else terms
-    if not len(terms):
-        whole = xxh64_hexdigest((text or "").encode("utf-8", "surrogatepass"))
-        return whole + whole[:DIGITS] * LEXICONS
-    placed = _mix(terms[None, :] ^ _SEEDS[:, None])
-    least = placed.min(axis=1)
-    bound = np.uint64(1) << np.ceil(np.log2(least.astype(np.float64) + 1)).clip(0, 63).astype(np.uint64)
-    kept = np.where(placed < np.maximum(bound, least + np.uint64(1))[:, None], _mix(placed), np.uint64(0))
-    parts = _mix(np.bitwise_xor.reduce(kept, axis=1)) >> np.uint64(64 - 4 * DIGITS)
-    return xxh64_hexdigest(terms.tobytes()) + "".join(f"{x:0{DIGITS}x}" for x in parts.tolist())
+        terms = terms[band[np.minimum(np.searchsorted(band, terms), len(band) - 1)] == terms]
+    if not len(band) or not len(terms):
+        return xxh64_hexdigest((text or "").encode("utf-8", "surrogatepass")) + _EMPTY * LEXICONS
+    return xxh64_hexdigest(terms.tobytes()) + lexicon_hashes(terms)
 
 
 def likeness(a: str, b: str) -> float:
-    """1 if all terms agree, else the share of randomised lexicons that do."""
+    """1 if the hashes of all terms agree, else the share of lexicons that agree, of those that have terms of either."""
     if a[:16] == b[:16]:
         return 1.0
-    return sum(a[i : i + DIGITS] == b[i : i + DIGITS] for i in range(16, 16 + DIGITS * LEXICONS, DIGITS)) / LEXICONS
+    pairs = [(a[i : i + DIGITS], b[i : i + DIGITS]) for i in range(16, 16 + DIGITS * LEXICONS, DIGITS)]
+    told = [x == y for x, y in pairs if x != _EMPTY or y != _EMPTY]
+    return sum(told) / len(told) if told else 0.0
 
 
 def with_fingerprint(docs: DataFrame, band: np.ndarray, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
-    """docs with the I-Match fingerprint of text_col. Null text: empty. Equal texts: equal fingerprints."""
+    """docs with the I-Match fingerprint of text_col in the column `out`, which is replaced if it is there.
+
+    Null text: empty. Equal texts have equal fingerprints. Very long texts are taken whole. Empty table: no rows."""
     import pandas as pd
 
     shared = docs.sparkSession.sparkContext.broadcast(band)  # at most LARGEST numbers
@@ -118,11 +139,15 @@ def with_fingerprint(docs: DataFrame, band: np.ndarray, text_col: str = "text",
 
 def edited_likeness(docs: DataFrame, band: np.ndarray, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: its fingerprint, that of its text edited with the next document's beginning, and
-    the likeness of its own to both. The next document is that with the next larger id (ties: by text);
-    after the last comes the first.
+    the likeness of its own to both. The next document is that with the next larger id; after the last comes the first.
 
-    Rows are dealt by ranges of ids. A task pairs its rows as they come, sorted, and hands on its first
-    and last text; the few that are handed on, two for each task, are paired at the end.
+    Null text: empty. Null ids come first. Rows that repeat an id follow one another by the hash of their text, and each is a
+    document. One row is its own next. Very long texts are taken whole. Empty table: no rows. Other columns, whatever
+    their names, are left behind.
+
+    Rows are dealt by ranges of ids, and of text hashes and row numbers within an id, so that no id makes a task too large. A
+    task pairs its rows as they come, sorted, and hands on its first and last; each last is joined to
+    the first of the next task that has rows, two texts at a time.
     """
     import hashlib
 
@@ -159,13 +184,19 @@ def edited_likeness(docs: DataFrame, band: np.ndarray, scratch: Scratch, id_col:
         yield batch_of(rows)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = [tuple(r.values()) for batch in batches for r in batch.select(["kind", "part", "doc_id", "fingerprint", "text"]).to_pylist()]
-        firsts = sorted((r for r in ends if r[0] == 1), key=lambda r: r[1])
-        lasts = sorted((r for r in ends if r[0] == 2), key=lambda r: r[1])
-        yield batch_of([result((x[2], x[4], x[3]), (y[2], y[4], y[3])) for x, y in zip(lasts, firsts[1:] + firsts[:1], strict=True)])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                yield batch_of([result((r["doc_id"], r["text"], r["fingerprint"]), (None, r["next_text"], r["next_fingerprint"]))])
 
+    spark, n = docs.sparkSession, partitions(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = own.repartitionByRange(partitions(docs.sparkSession), "id").sortWithinPartitions("id", "text")
+    own = own.select("id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("r"))
+    dealt = own.repartitionByRange(n, "id", "h", "r").sortWithinPartitions("id", "h", "r").select("id", "text")
     out = scratch.keep(dealt.mapInArrow(pair, shape))
-    ends = out.where("kind > 0").repartition(1).mapInArrow(close, shape)
+    parts = sorted(r.part for r in out.where("kind = 1").select("part").collect())  # numbers of tasks
+    following = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next_part int")
+    firsts = out.where("kind = 1").select(F.col("part").alias("next_part"), F.col("fingerprint").alias("next_fingerprint"), F.col("text").alias("next_text"))
+    lasts = out.where("kind = 2").select("part", "doc_id", "fingerprint", "text").join(following, "part").join(firsts, "next_part")
+    ends = lasts.repartition(n, "part").mapInArrow(close, shape)
     return out.where("kind = 0").union(ends).drop("kind", "part", "text")

@@ -45,7 +45,7 @@ def beginnings(found: set[bytes], length: int) -> set[bytes]:
 
 @dataclass
 class Link:
-    """A logistic model over the presence of some words and the log-odds of the links before it."""
+    """A logistic model over the presence of some words and the probabilities of the links before it."""
 
     terms: list[bytes] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1))  # intercept, earlier links, terms
@@ -81,8 +81,12 @@ class Chain:
             x = np.zeros((len(found), len(at)))
             for i, ws in enumerate(found):
                 x[i, [at[w] for w in at.keys() & ws]] = 1
-            before = np.c_[before, np.clip(link.odds(x, before), -30, 30)]
-        return 1 / (1 + np.exp(-before))
+            before = np.c_[before, _probability(link.odds(x, before))]
+        return before
+
+
+def _probability(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
 def _newton(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
@@ -90,7 +94,7 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[0] = 1e-4
     for _ in range(15):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = _probability(x @ w)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -99,7 +103,7 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
 
 
 def _fit_link(rows: np.ndarray, codes: np.ndarray, names: list[bytes], y: np.ndarray, before: np.ndarray, train: np.ndarray, terms: int) -> tuple[Link, np.ndarray]:
-    """Fits on the rows of the mask train; returns the link and its log-odds on all rows.
+    """Fits on the rows of the mask train; returns the link and its probabilities on all rows.
     (rows, codes): one entry for each distinct word of each row."""
     n, inside = len(y), train[rows]
     pos = np.bincount(codes[inside & y[rows]], minlength=len(names)).astype(float)
@@ -107,7 +111,7 @@ def _fit_link(rows: np.ndarray, codes: np.ndarray, names: list[bytes], y: np.nda
     a, b = (train & y).sum(), train.sum()
     if not 0 < a < b:
         link = Link([], np.r_[-30.0 if not a else 30.0, np.zeros(before.shape[1])])
-        return link, np.full(n, link.weights[0])
+        return link, _probability(np.full(n, link.weights[0]))
     want = every * a / b
     chi = np.where(every > 1, (pos - want) ** 2 / np.maximum(want * (1 - a / b) * (1 - every / (b + 1)), 1e-9), 0)
     best = np.argsort(-chi, kind="stable")[:terms]
@@ -119,7 +123,7 @@ def _fit_link(rows: np.ndarray, codes: np.ndarray, names: list[bytes], y: np.nda
     x[rows[use], at[codes[use]]] = 1
     full = np.c_[np.ones(n), before, x]
     link = Link([names[i] for i in best], _newton(full[train], y[train].astype(float)))
-    return link, np.clip(full @ link.weights, -30, 30)
+    return link, _probability(full @ link.weights)
 
 
 def terms_of(text: str | None) -> set[bytes]:
@@ -205,19 +209,20 @@ def fit_chain(texts: DataFrame, categories: Sequence[str], text_col: str = "text
         if i + 1 < len(categories):
             unseen = np.zeros(n)
             for k in range(folds):
-                _, odds = _fit_link(rows, codes, names, y_, before, fold_ != k, terms)
-                unseen[fold_ == k] = odds[fold_ == k]
+                _, p = _fit_link(rows, codes, names, y_, before, fold_ != k, terms)
+                unseen[fold_ == k] = p[fold_ == k]
             before = np.c_[before, unseen]
     return Chain(list(categories), links)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most `sample` labelled documents, chosen by a hash of the id: (id, text, categories).
-    The sample is broadcast to the documents: `sample` rows of some numbers, whatever the input."""
+    """At most `sample` labelled documents, chosen by a hash of the id: (id, text, categories). Rows that repeat an
+    id are one document, with the least of their texts. The sample is broadcast to the documents: `sample` rows of
+    some numbers, whatever the input."""
     chosen = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(*(F.max(c).alias(f"__y{i}") for i, c in enumerate(categories)))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(sample)
     one = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(chosen), id_col)
-    return one.select(id_col, text_col, *(F.col(f"__y{i}").alias(c) for i, c in enumerate(categories)))
+    return one.groupBy(id_col).agg(F.min(text_col).alias(text_col), *(F.max(f"__y{i}").alias(c) for i, c in enumerate(categories)))
 
 
 def with_toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("quality", "toxic"), train_docs: DataFrame | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
