@@ -17,6 +17,8 @@ from millrace.llm.scratch import Scratch
 SAMPLE = 20_000
 #: Most vectors, and most queries, that meet in one group.
 CELL = 4096
+#: One in so many of a query's lists, its nearest, is visited first.
+NEAREST = 16
 #: Standard deviations of the estimate that the error bound spans.
 SPAN = 3.0
 
@@ -93,10 +95,11 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def top_in_list(index: Index, centre: int, ids: np.ndarray, x: np.ndarray, codes: tuple, q_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, score) of each query's k best among the list's vectors, those of its own id left out.
+def top_in_list(index: Index, centre: int, ids: np.ndarray, x: np.ndarray, codes: tuple, q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of each query's k best among the list's vectors, those of its own id and scores below
+    `least` left out.
 
-    Only vectors whose upper bound reaches the k-th largest lower bound are looked at; the score of these
+    Only vectors whose upper bound reaches `least` and the k-th largest lower bound are looked at; the score of these
     is the exact inner product. Equal vectors get equal scores, as each row is summed on its own.
     """
     out: tuple[list, list, list] = ([], [], [])
@@ -106,14 +109,15 @@ def top_in_list(index: Index, centre: int, ids: np.ndarray, x: np.ndarray, codes
         own = q_ids[i : i + 128, None] == ids[None, :]
         low[own] = -np.inf
         kth = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
-        near = (high >= kth[:, None]) & ~own
-        for j in range(len(low)):
-            at = np.flatnonzero(near[j])
-            score = (x[at] * q[i + j]).sum(axis=1)
-            best = np.lexsort((ids[at], -score))[:k]
-            out[0].append(np.full(len(best), q_ids[i + j]))
-            out[1].append(ids[at[best]])
-            out[2].append(score[best])
+        a, b = np.nonzero((high >= np.maximum(kth, least[i : i + 128])[:, None]) & ~own)
+        score = np.concatenate([np.zeros(0), *((x[b[p : p + 16384]] * q[i + a[p : p + 16384]]).sum(axis=1) for p in range(0, len(a), 16384))])
+        order = np.lexsort((ids[b], -score, a))
+        a, b, score = a[order], b[order], score[order]
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        best = (place < k) & (score >= least[i + a])
+        out[0].append(q_ids[i + a[best]])
+        out[1].append(ids[b[best]])
+        out[2].append(score[best])
     return tuple(np.concatenate(c) if c else np.zeros(0) for c in out)  # type: ignore[return-value]
 
 
@@ -127,12 +131,16 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, probes: int | None = None
     the centres come from a sample of at most `sample` rows. Within a list, one-bit codes
     choose what is compared exactly.
 
+    A query first visits a NEAREST-th of its lists. The k-th largest score found there bounds the final one from below, so
+    from the other lists only vectors that may reach it come back, not k for each list.
+
     Lists and their queries are split by hash into cells of about CELL of each, so a list that holds a third of all
-    vectors is shared out; what cells find is k rows a query.
+    vectors is shared out.
 
     Null vectors, and such that are zero or hold null or non-finite components, take no part, nor do those of
     another than the most common dimension, nor rows with null ids. Rows that repeat an id are kept once for each vector
-    that they hold as candidates, and the best counts. No rows: no rows.
+    that they hold as candidates, and the best counts. Very long vectors are taken whole. No rows: no rows. Only id_col,
+    vector_col and what is_query reads are looked at, so other columns can't clash.
     """
     spark, v = vectors.sparkSession, F.col(vector_col)
     scratch = Scratch(spark, "rabitq")
@@ -157,39 +165,24 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, probes: int | None = None
             bits, length, fit = index.encode(x, own)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("x"), batch.column("q"), pa.array(own.astype(np.int32)), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(length), pa.array(fit)], names=["id", "x", "q", "list", "bits", "length", "fit"])
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column("x"), dim)
-            to = np.argsort(-(x @ index.centres.T), axis=1, kind="stable")[:, :probes]
-            at = np.repeat(np.arange(len(x)), probes)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), batch.column("x").take(pa.array(at)), pa.array(to.ravel().astype(np.int32))], names=["id", "x", "list"])
+    def route(begin: int, end: int):
+        """Queries (id, x, least) to their lists from the begin-th nearest on."""
 
-    coded = scratch.keep(rows.mapInArrow(code, "id long, x array<double>, q boolean, list int, bits binary, length double, fit double"))
-    asked = coded.where("q").select("id", "x").mapInArrow(route, "id long, x array<double>, list int")
-    # Numbers of rows for each list; there are at most sample / 20 lists.
-    sizes = {r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    calls = {r["list"]: r["n"] for r in asked.select("list").groupBy("list").agg(F.count("*").alias("n")).collect()}
-    split = np.array([max(1, math.ceil(sizes.get(i, 0) / CELL)) for i in range(n_lists)])
-    turns = np.array([max(1, math.ceil(calls.get(i, 0) / CELL)) for i in range(n_lists)])
-    base = np.r_[0, np.cumsum(split * turns)]
-
-    def cells(of_rows: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own = batch.column("list").to_numpy()
-                ids = batch.column("id").to_numpy(zero_copy_only=False).view(np.uint64)
-                h = ((ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
-                part, other = (h % split[own], turns[own]) if of_rows else (h % turns[own], split[own])
-                at = np.repeat(np.arange(len(own)), other)
-                k = np.arange(len(at)) - np.repeat(np.cumsum(other) - other, other)
-                cell = base[own[at]] + (part[at] * turns[own[at]] + k if of_rows else k * turns[own[at]] + part[at])
-                took = pa.array(at)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), *(batch.column(c).take(took) for c in batch.schema.names)], names=["cell", *batch.schema.names])
+            for whole in batches:
+                for i in range(0, whole.num_rows, 1000):
+                    batch = whole.slice(i, 1000)
+                    x = _matrix(batch.column("x"), dim)
+                    to = np.argsort(-(x @ index.centres.T), axis=1, kind="stable")[:, begin:end]
+                    at = pa.array(np.repeat(np.arange(len(x)), to.shape[1]))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("id", "x", "least")), pa.array(to.ravel().astype(np.int32))], names=["id", "x", "least", "list"])
 
         return run
 
-    left = coded.where(F.lit(True)).select("id", "x", "list", "bits", "length", "fit").mapInArrow(cells(True), "cell long, id long, x array<double>, list int, bits binary, length double, fit double")
-    right = asked.mapInArrow(cells(False), "cell long, id long, x array<double>, list int")
+    coded = scratch.keep(rows.mapInArrow(code, "id long, x array<double>, q boolean, list int, bits binary, length double, fit double"))
+    # Numbers of rows for each list; there are at most sample / 20 lists.
+    sizes = {r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    split = np.array([max(1, math.ceil(sizes.get(i, 0) / CELL)) for i in range(n_lists)])
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -199,10 +192,46 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, probes: int | None = None
         get = lambda t, c: t[c].combine_chunks() if isinstance(t[c], pa.ChunkedArray) else t[c]
         bits = np.frombuffer(b"".join(get(a, "bits").to_pylist()), dtype=np.uint8).reshape(a.num_rows, -1)
         codes = (bits, get(a, "length").to_numpy(), get(a, "fit").to_numpy())
-        q, v_, s = top_in_list(index, get(a, "list")[0].as_py(), get(a, "id").to_numpy(), _matrix(get(a, "x"), dim), codes, get(b, "id").to_numpy(), _matrix(get(b, "x"), dim), k)
-        return pa.table([pa.array(q.astype(np.int64)), pa.array(v_.astype(np.int64)), pa.array(s.astype(np.float64))], names=names)
-
-    found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(search, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = top_in_list(index, get(a, "list")[0].as_py(), get(a, "id").to_numpy(), _matrix(get(a, "x"), dim), codes, get(b, "id").to_numpy(), _matrix(get(b, "x"), dim), get(b, "least").to_numpy(), k)
+        return pa.table([pa.array(c.astype(t)) for c, t in zip(found, (np.int64, np.int64, np.float64), strict=True)], names=names)
+
+    def visit(asked: DataFrame) -> DataFrame:
+        """The best of each query in each cell of its lists."""
+        calls = {r["list"]: r["n"] for r in asked.select("list").groupBy("list").agg(F.count("*").alias("n")).collect()}
+        turns = np.array([max(1, math.ceil(calls.get(i, 0) / CELL)) for i in range(n_lists)])
+        base = np.r_[0, np.cumsum(split * turns)]
+
+        def cells(of_rows: bool):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    own = batch.column("list").to_numpy()
+                    ids = batch.column("id").to_numpy(zero_copy_only=False).view(np.uint64)
+                    h = ((ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+                    part, other = (h % split[own], turns[own]) if of_rows else (h % turns[own], split[own])
+                    at = np.repeat(np.arange(len(own)), other)
+                    n = np.arange(len(at)) - np.repeat(np.cumsum(other) - other, other)
+                    cell = base[own[at]] + (part[at] * turns[own[at]] + n if of_rows else n * turns[own[at]] + part[at])
+                    took = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), *(batch.column(c).take(took) for c in batch.schema.names)], names=["cell", *batch.schema.names])
+
+            return run
+
+        left = coded.select("id", "x", "list", "bits", "length", "fit").mapInArrow(cells(True), "cell long, id long, x array<double>, list int, bits binary, length double, fit double")
+        right = asked.mapInArrow(cells(False), "cell long, id long, x array<double>, least double, list int")
+        return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(search, "query_id long, vec_id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+
+    first = max(1, probes // NEAREST)
+    routed = "id long, x array<double>, least double, list int"
+    queries = coded.where("q").select("id", "x")
+    asked = queries.withColumn("least", F.lit(float("-inf"))).mapInArrow(route(0, first), routed)
+    near = scratch.keep(best(visit(asked)).select("query_id", "vec_id", "score"))
+    if first == probes:
+        return best(near).select("query_id", "rank", "vec_id", "score")
+    bound = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k).select(F.col("query_id").alias("id"), "least")
+    asked = queries.join(bound, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))).mapInArrow(route(first, probes), routed)
+    return best(near.union(visit(asked))).select("query_id", "rank", "vec_id", "score")

@@ -44,6 +44,16 @@ def test_lines_against_brute_force(spark):
     assert got == lines_of(rows)
 
 
+def test_lines_of_a_long_text_and_clashing_columns(spark):
+    long = "\n".join([LONG, *(str(k) for k in range(100_000)), LONG])
+    rows = [(i, LONG) for i in range(1, 7)] + [(0, long)]
+    df = spark.createDataFrame([(i, t, "h", 1) for i, t in rows], SHAPE).withColumnRenamed("id", "n_lines").withColumnRenamed("h", "n_dropped")
+    out = line_dedup.dedup_lines(df)
+    assert sorted(out.columns) == sorted(df.columns)
+    got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect()), key=str)
+    assert got == lines_of(rows)
+
+
 def test_lines_empty_table(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], SHAPE)).count() == 0
 

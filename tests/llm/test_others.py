@@ -6,12 +6,12 @@ import zlib
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.llm import chat, html_text, imatch, mixing, packing, rabitq, toxicity
-from millrace.llm.queries import vocabulary
+from millrace.llm.queries import op8_rabitq, vocabulary
 from millrace.llm.scratch import Scratch
 
 DOCS = "doc_id long, text string, source string, id int"
@@ -67,6 +67,22 @@ def test_chat_digests(spark):
     assert chat.digests(chat.format_conversations(df.where("false"))).count() == 0
 
 
+def test_chat_layouts_ignore_other_fields(spark):
+    turns = lambda record: chat.canonical(record)
+    said = [{"role": "user", "content": "q", "name": "x"}, {"role": "assistant", "content": "a"}]
+    assert turns({"id": 7, "messages": said, "source": {"url": "u"}}) == [("user", "q"), ("assistant", "a")]
+    assert turns({"id": 7, "messages": []}) == [] and turns({"a": 1}) is None
+    assert turns({"instruction": "i", "output": "o", "id": 1}) == [("user", "i"), ("assistant", "o")]
+    assert turns({"instruction": "i", "input": "", "output": "o"}) == [("user", "i"), ("assistant", "o")]
+    assert turns({"system": "s", "prompt": "p", "completion": None}) == [("system", "s"), ("user", "p"), ("assistant", "")]
+    for key, m in chat.MAPPINGS.items():
+        assert key == chat.fingerprint(m.paths) == chat.layout_of({*m.paths, "zz", "meta.id"})
+    rows = spark.createDataFrame([("human", None, "s"), ("gpt", "v", "s")], "from string, value string, prompt string")
+    assert [(r.role, r.text) for r in chat.row_turns(rows).collect()] == [("user", ""), ("assistant", "v")]
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.row_turns(rows.select("prompt"))
+
+
 def test_chat_layouts(spark):
     rows = [("1", '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}'), ("2", '{"instruction":"do","input":"it","output":"done"}'), ("3", '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}'), ("4", '{"x":1}'), ("5", "nope"), ("6", None), ("7", '{"prompt":"p","response":"r"}')]
     got = [(r.i, r.role, r.text, r.problem) for r in chat.turns_from_json(spark.createDataFrame(rows, "i string, j string"), "j", "i").orderBy("i", "turn").collect()]
@@ -77,8 +93,10 @@ def test_chat_layouts(spark):
 
 
 @settings(deadline=None)
-@given(st.text())
-def test_ranks_are_the_tokenizer(text):
+@given(st.lists(st.one_of(st.text(), st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "\n\n", "'ll"]))).map("".join))
+@example("a<|endoftext|>b")
+@example("<|endoftext|><|endoftext|> <|endoftext|>")
+def test_ids_are_the_tokenizers(text):
     from public_tokenizers import path
     from tokenizers import Tokenizer
 
@@ -87,6 +105,19 @@ def test_ranks_are_the_tokenizer(text):
     assert packing.byte_bpe(vocabulary())(text) == hf.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_every_character_and_added_token():
+    from tokenizers import Tokenizer
+
+    hf = Tokenizer.from_file(vocabulary())
+    encode = packing.byte_bpe(vocabulary())
+    for token in hf.get_added_tokens_decoder().values():
+        assert encode(f"a{token.content}b") == hf.encode(f"a{token.content}b", add_special_tokens=False).ids
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 20_000):
+        texts = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)}! {chr(c)}" for c in points[i : i + 20_000 : 7]]
+        assert [encode(t) for t in texts] == [e.ids for e in hf.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_packing_is_whole_and_tight(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["alpha", "beta", "Ünï", "x1", "\n"]) for _ in range(rng.randint(0, 900))) for _ in range(300)] + [None, "", "word " * 30_000, "same", "same"]
@@ -148,6 +179,48 @@ def test_imatch_pairs_and_likeness(spark):
     assert imatch.edited_likeness(one.where("false"), imatch.lexicon(one.where("false")), Scratch(spark, "test")).count() == 0
 
 
+def imatch_by_definition(text, band):
+    """The definition again, term by term, with Python's integers."""
+    import re
+
+    from xxhash import xxh64_hexdigest, xxh64_intdigest
+
+    top = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & top
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & top
+        return x ^ (x >> 31)
+
+    found = {re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text or "")}
+    terms = sorted({xxh64_intdigest(w.encode()) for w in found} & set(band))
+    if not terms:
+        return xxh64_hexdigest((text or "").encode()) + "0" * 4 * imatch.LEXICONS
+    out = [xxh64_hexdigest(b"".join(t.to_bytes(8, "little") for t in terms))]
+    for seed in imatch._SEEDS.tolist():
+        for k in range(1, imatch.SHARES + 1):
+            own = [t for t in terms if mix(t ^ seed) < 1 << (64 - k)]
+            h = xxh64_intdigest(b"".join(t.to_bytes(8, "little") for t in own), k) % 65535 + 1
+            out.append(f"{h:04x}" if own else "0000")
+    return "".join(out)
+
+
+def test_imatch_by_definition(spark):
+    from collections import Counter
+
+    from xxhash import xxh64_intdigest
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["Alpha", "b%d" % rng.randint(0, 400), "é%d" % rng.randint(0, 50), "the"]) for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, "", "the the"]
+    band = imatch.lexicon(spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(texts)], DOCS))
+    df = Counter(w for t in texts for w in {x.lower() for x in (t or "").split()})
+    assert band.tolist() == sorted(xxh64_intdigest(w.encode()) for w, n in df.items() if 2 <= n <= int(0.05 * len(texts)))
+    for t in [*texts, "b1 b2, b3;é7 THE", "nothing known"]:
+        assert imatch.fingerprint(t, band) == imatch_by_definition(t, band.tolist())
+    a = imatch.fingerprint("b1 b2 b3 b4", band)
+    assert imatch.likeness(a, imatch.fingerprint("b4 b3 the b2 b1", band)) == 1.0 and imatch.likeness(a, imatch.fingerprint("nothing known", band)) == 0.0
+
+
 # -- neighbours
 
 
@@ -184,6 +257,22 @@ def test_neighbours_recall(spark, monkeypatch, kind):
     assert rabitq.nearest(df.where("vec_id > 4999"), F.col("vec_id") % 20 == 0).count() in (0, 20)
 
 
+def test_neighbours_recall_on_the_table(spark):
+    """The production parameters on the embeddings themselves, against brute force."""
+    import pandas as pd
+
+    table = pd.read_parquet("/root/testdata/sf0.01/embeddings.parquet")
+    vector = next(c for c in table.columns if c != "vec_id" and isinstance(table[c].iloc[0], np.ndarray))
+    fine = table[[v is not None and np.isfinite(np.asarray(v, float)).all() and np.any(v) for v in table[vector]]]
+    want = exact(fine.vec_id.to_numpy(), np.stack(fine[vector]).astype(float), 20)
+    got = {}
+    for r in op8_rabitq(spark, "/root/testdata/sf0.01").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(want)
+    recall = [len(got[q] & {a for a, _ in want[q]}) / len(want[q]) for q in want]
+    assert np.mean(recall) >= 0.9
+
+
 def test_neighbours_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [2.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r["rank"]) for r in rabitq.nearest(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
@@ -214,6 +303,8 @@ def test_mixing_weights_and_budget(spark):
         assert taken.get(s, 0) >= weights[s] * total - max(len((t or "").split()) for _, t, x, _ in rows if x == s) * 2 or s is None
     assert sum(1 for r in got if r.source == "void") == 1 and out.columns[:4] == df.columns
     assert mixing.mix(df.where("false")).count() == 0
+    clash = mixing.mix(df.withColumn("mix_key", F.lit(1)).withColumn("mix_weight", F.lit("x")))
+    assert sorted(clash.columns) == sorted(out.columns) and dict(clash.dtypes)["mix_weight"] == "double"
     plan = out._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
@@ -239,5 +330,59 @@ def test_toxicity_held_out(spark):
     assert len(got) == len(rows)
     unseen = [r for r in got if r.doc_id is not None and 700 <= r.doc_id < 1200]
     assert sum((r.p_toxic >= 0.5) == (r.doc_id % 8 == 0) for r in unseen) / len(unseen) > 0.97
+    clash = toxicity.with_toxicity(df.withColumn("p_toxic", F.lit("x")), lab)
+    assert dict(clash.dtypes)["p_toxic"] == "double" and len(clash.columns) == len(df.columns) + 2
     none = toxicity.with_toxicity(df, lab.where("false"))
     assert none.where("p_toxic > 0.01").count() == 0 and toxicity.with_toxicity(df.where("false"), lab, train_docs=df).count() == 0
+
+
+def chain_by_hand(texts, ys, folds, score):
+    """The classifier chain again on dense tables, term by term: (probabilities of the texts in score, link by link)."""
+    names = sorted(set().union(*map(toxicity.terms_of, texts)))
+    table = np.array([[n in ts for n in names] for ts in map(toxicity.terms_of, texts)], float)
+    asked = np.array([[n in ts for n in names] for ts in map(toxicity.terms_of, score)], float)
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def fit(y, before, use):
+        n, a = use.sum(), y[use].sum()
+        chosen = []
+        for j in range(len(names)):
+            every, pos = table[use, j].sum(), table[use & y, j].sum()
+            want = every * a / n
+            chi = (pos - want) ** 2 / max(want * (1 - a / n) * (1 - every / (n + 1)), 1e-9) if every > 1 else 0
+            if chi > toxicity.SIGNIFICANT and table[:, j].sum() >= toxicity.LEAST:
+                chosen.append((-chi, j))
+        chosen = [j for _, j in sorted(chosen)[: toxicity.TERMS]]
+        x = np.c_[np.ones(len(y)), before, table[:, chosen]]
+        w, penalty = np.zeros(x.shape[1]), np.r_[1e-4, np.full(x.shape[1] - 1, toxicity.RIDGE)]
+        for _ in range(60):
+            p = sigmoid(x[use] @ w)
+            w -= np.linalg.solve(x[use].T @ np.diag(p * (1 - p)) @ x[use] + np.diag(penalty), x[use].T @ (p - y[use]) + penalty * w)
+        return chosen, w, sigmoid(x @ w)
+
+    before, out = np.zeros((len(texts), 0)), np.zeros((len(score), 0))
+    for y in ys:
+        chosen, w, _ = fit(y, before, np.ones(len(y), bool))
+        out = np.c_[out, sigmoid(np.c_[np.ones(len(score)), out, asked[:, chosen]] @ w)]
+        unseen = np.zeros(len(y))
+        for k in range(toxicity.FOLDS):
+            unseen[folds == k] = fit(y, before, folds != k)[2][folds == k]
+        before = np.c_[before, unseen]
+    return out
+
+
+def test_toxicity_chain_by_hand(spark):
+    rng = random.Random(21)
+    texts, quality, toxic = [], [], []
+    for i in range(260):
+        bad = i % 6 == 0
+        ws = [f"w{rng.randint(0, 60)}" for _ in range(rng.randint(3, 25))] + (["vile", rng.choice(["slur", "slurs"])] if bad and rng.random() < 0.9 else []) + (["fine"] if not bad and rng.random() < 0.7 else [])
+        texts.append(" ".join(ws))
+        quality.append(not bad and rng.random() < 0.9)
+        toxic.append(bad)
+    df = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(texts)] + [(0, texts[0], "s", 1)], DOCS)
+    lab = spark.createDataFrame([(i, int(q), int(t)) for i, (q, t) in enumerate(zip(quality, toxic, strict=True)) if i < 200], "doc_id long, quality int, toxic int")
+    folds = np.array([r.f for r in spark.range(200).orderBy("id").select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(toxicity.FOLDS)).alias("f"), "id").orderBy("id").collect()])
+    got = {r.doc_id: (r.p_quality, r.p_toxic) for r in toxicity.with_toxicity(df, lab).collect()}
+    want = chain_by_hand(texts[:200], [np.array(quality[:200]), np.array(toxic[:200])], folds, texts)
+    assert np.abs(np.array([got[i] for i in range(260)]) - want).max() < 1e-4
