@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the class [\x20\x09-\x0D].
 SPACE = "\t\n\x0b\x0c\r "
+#: Spark's setting that deletes a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,7 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Cuts lineage: keep() writes a DataFrame as Parquet to the shared folder and reads it back.
 
-    A lost executor then costs at most the stage that was running. drop() removes a table that no
+    A lost executor then costs at most the stage that was running. Shuffle files that led to a table are
+    deleted as soon as it is written. drop() removes a table that no
     later step reads. Tables that a returned DataFrame still reads stay until the cluster cleans
     its checkpoint folder.
     """
@@ -39,7 +42,12 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(kept)] = path
         kept._scratch_path = path

@@ -34,7 +34,7 @@ from millrace.llm.scratch import Scratch, partitions
 
 LENGTH, GRAM, SHALLOW = 100, 24, 40
 #: Text that is taken at once (positions need 21 bits), that is held before entries are shipped, and that makes a bucket.
-CHUNK, FLUSH, BUCKET = 1 << 20, 12 << 20, 12 << 20
+CHUNK, FLUSH, BUCKET = 1 << 20, 8 << 20, 8 << 20
 #: Contents of an anchor in what one task ships, or in one task of step 1, from which it is spread.
 CROWD = 64
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -377,7 +377,7 @@ def _map_contents(buckets: int):
                         size += len(at) * 72
                     raws.append(raw)
                     size += len(raw)
-                if size > 2 * FLUSH:
+                if size > FLUSH:
                     yield from flush()
         yield from flush()
 
@@ -544,7 +544,7 @@ def _told_apart(x: dict[str, np.ndarray], data: np.ndarray) -> Iterator[dict[str
     g = y["g"][order]
     at = 0
     while at < len(order):  # an anchor's units stay together
-        end = int(np.searchsorted(g, g[min(at + (1 << 16), len(g)) - 1], "right"))
+        end = int(np.searchsorted(g, g[min(at + (1 << 15), len(g)) - 1], "right"))
         part = order[at:end]
         unit, begin, n = repeated_windows(_take(y, part), data)
         gone = own[part[unit]]
