@@ -215,13 +215,14 @@ def _dealt(y: dict[str, np.ndarray], where: np.ndarray, buckets: int, kind: int,
         yield _blob_rows(*out)
 
 
-def _removed(x: dict[str, np.ndarray], bucket: int) -> Iterator[pa.RecordBatch]:
-    """Removals that a task has found, to travel with its blobs as kind 0; rows counts nothing there."""
+def _removed(x: dict[str, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Removals that a task has found, to travel with its blobs, spread by row, as kind 0; rows counts nothing there."""
     got = _removals(x)
     if got.num_rows:
         n = got.num_rows
+        where = _mix(got.column("r").to_numpy().view(np.uint64) * _M1) % np.uint64(buckets)
         data = [r.to_bytes(8, "little", signed=True) + d for r, d in zip(got.column("r").to_pylist(), got.column("data").to_pylist(), strict=True)]
-        yield _blob_rows([bucket] * n, [0] * n, [1] * n, data)
+        yield _blob_rows(where.tolist(), [0] * n, [1] * n, data)
 
 
 def _ship(x: dict[str, np.ndarray], data: np.ndarray, buckets: int, kind: int, spread: bool) -> Iterator[pa.RecordBatch]:
@@ -243,7 +244,7 @@ def _ship(x: dict[str, np.ndarray], data: np.ndarray, buckets: int, kind: int, s
         x = _joined([x, marks])
     where = np.where((x["hot"] > 0) | (kind == 2), (x["g"] ^ x["u"]), x["g"]) % buckets
     yield from _dealt(x, where, buckets, kind)
-    yield from _removed(gone, int(where[0]) if len(where) else 0)
+    yield from _removed(gone, buckets)
 
 
 def _raw(text: str | None) -> bytes:
@@ -615,7 +616,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = scratch.keep(docs.withColumn("__r", F.monotonically_increasing_id()))
     own = rows.select(F.col("__r").alias("r"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(n, -(-size // BUCKET))
+    buckets = max(4 * n, -(-size // BUCKET))
     dealt = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket")
     step1 = scratch.keep(dealt(own.mapInArrow(_map_units(buckets), _BLOB)).mapInArrow(_reduce_units, _FOUND))
     units = step1.where("kind > 0").groupBy("r").agg(F.collect_list(F.struct("kind", "data")).alias("u"))
