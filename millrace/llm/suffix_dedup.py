@@ -34,7 +34,7 @@ from millrace.llm.scratch import Scratch, partitions
 
 LENGTH, GRAM, SHALLOW = 100, 24, 40
 #: Text that is taken at once (positions need 21 bits), that is held before entries are shipped, and that makes a bucket.
-CHUNK, FLUSH, BUCKET = 1 << 20, 8 << 20, 8 << 20
+CHUNK, FLUSH, BUCKET = 1 << 20, 8 << 20, 4 << 20
 #: Contents of an anchor in what one task ships, or in one task of step 1, from which it is spread.
 CROWD = 64
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -616,7 +616,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = scratch.keep(docs.withColumn("__r", F.monotonically_increasing_id()))
     own = rows.select(F.col("__r").alias("r"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(4 * n, -(-size // BUCKET))
+    buckets = max(1, -(-size // BUCKET))
     dealt = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket")
     step1 = scratch.keep(dealt(own.mapInArrow(_map_units(buckets), _BLOB)).mapInArrow(_reduce_units, _FOUND))
     units = step1.where("kind > 0").groupBy("r").agg(F.collect_list(F.struct("kind", "data")).alias("u"))
