@@ -38,6 +38,83 @@ def test_html_by_template_and_marks(spark):
     assert html_text.main_text(df.where("false")).count() == 0
 
 
+def site_page(rng, i, kind):
+    words = lambda n: " ".join(rng.choice(["the", "of", f"w{rng.randint(0, 400)}", "and", "x"]) for _ in range(n))
+    menu = "<div>Home page</div><div>About us</div>" if kind != "lacking" or i % 9 else ""
+    items = "".join(f"<li>Item {words(1)}</li>" for _ in range(rng.randint(0, 4)))
+    middle = f"<h1>Title {i}</h1><p>{words(30)}</p><ul>{items}</ul><p>Read on: {words(25)} once</p>"
+    order = ["<div>Copyright Acme Corp</div>", "<div>All rights reserved</div>"]
+    if kind == "mixed" and i % 2:
+        order.reverse()
+    return f"<html><body>{menu}{middle}{''.join(order)}</body></html>"
+
+
+def template_words(pages):
+    """ExAlg's classes again, with whole occurrence vectors of (path, word) and path tokens, on the pages of one host."""
+    from collections import Counter, defaultdict
+
+    found = [[(t, p) for t, p in html_text._tokens(*html_text.parse(h))] for h in pages]
+    counts = [Counter(f) for f in found]
+    vectors = {tp: tuple(c[tp] for c in counts) for tp in set().union(*counts)}
+    on = {tp: sum(map(bool, v)) for tp, v in vectors.items()}
+    many = {tp for tp in vectors if on[tp] >= html_text.SUPPORT and on[tp] >= html_text.SHARE * on[(tp[1], tp[1])]}
+    classes = defaultdict(set)
+    for tp in many:
+        classes[vectors[tp]].add(tp)
+    classes = {v: ts for v, ts in classes.items() if len(ts) >= html_text.MEMBERS}
+
+    def valid(members):
+        if len(members) < html_text.MEMBERS:
+            return False
+        orders = set()
+        for f in found:
+            sequence = [tp for tp in f if tp in members]
+            n = len(set(sequence))
+            if sequence and sequence != sequence[:n] * (len(sequence) // n):
+                return False
+            orders |= {tuple(sequence[:n])} if sequence else set()
+        return len(orders) == 1
+
+    out = set()
+    for members in classes.values():
+        parts = [members] if valid(members) else [{tp for tp in members if tp[1] == path} for path in {p for _, p in members}]
+        out |= {t for part in parts if valid(part) for t, p in part if t != p}
+    return out
+
+
+@pytest.mark.parametrize("kind", ["plain", "lacking", "mixed"])
+def test_html_template_against_whole_vectors(spark, kind):
+    rng = random.Random(kind)
+    sites = {f"{n}.example": [site_page(rng, i, kind) for i in range(n)] for n in (1, 2, 3, 12, 40)}
+    rows = [(f"http://{host}/{i}", h) for host, pages in sites.items() for i, h in enumerate(pages)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string").repartition(5)
+    got = {r.h: set(r.words or ()) for r in html_text.templates(df, Scratch(spark, "test")).collect()}
+    for host, pages in sites.items():
+        assert got.get(html_text.hash_of(host), set()) == template_words(pages), host
+    text = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    for i, (u, h) in enumerate(rows):
+        if "40.example" in u and kind != "mixed":  # there the class is not in order, so its words stay
+            body = [b for b, _ in html_text.parse(h)[0]]
+            assert text[i] == " ".join(b for b in body if b not in ("Home page", "About us", "Copyright Acme Corp", "All rights reserved"))
+
+
+def test_html_odd_markup():
+    got = lambda h: html_text.extract(h)
+    assert got("<script>for(i=0;i<n;i++){}</script><p>Main text") == "Main text"
+    assert got("<style>a>b{}</style><p>x<SCRIPT>'</p>'</SCRIPT >y</p><script>rest <p>z") == "xy"
+    assert got("<p>a <a href=x' >link</a> <a title='q>r' href=/a/b>two</a>") == "a link two"
+    assert got('<p>a <img alt="open>b</p>c') == "a b c"
+    assert got("<!--><p>one<!-- x --!>two<!-- > --> three</p></ >four") == "onetwo three four"
+    assert got("<p>1 < 2, a<3 &amp;lt; &eacute;&#233;&#xe9;&nbsp;&nbsp;x</p>") == "1 < 2, a<3 &lt; ééé x"
+    assert got('<div class="content-with-sidebar"><p>Body') == "Body"
+    assert got('<div class="two-side layout"><article>Text here</article></div>') == "Text here"
+    assert got("<form><div><h1>T</h1><p>all of it, the page is a form</p></div></form>") == "T all of it, the page is a form"
+    assert got("<article><p>said</p><div class='discussion'><p>no, no, no and no again</p></div><div class=ad>buy</div><aside>more</aside></article>") == "said"
+    assert got("<article><div class=comment>only this</div></article>") == "only this"
+    assert got("<ul><li>a<li>b</ul><table><tr><td>c<td>d<tr><td>e</table>") == "a b c d e"
+    assert got('<a href="' + "x" * 200_000) == "" and got("<" * 50_000).count("<") == 50_000
+
+
 # -- chat
 
 
