@@ -20,9 +20,11 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,11 +71,12 @@ def hash_of(text: str) -> int:
 class _Element:
     """token: hash of the path from the root; each step is an element's name, class and id."""
 
-    __slots__ = ("chars", "depth", "hidden", "label", "name", "out", "parent", "rank", "token")
+    __slots__ = ("chars", "depth", "hidden", "label", "marked", "name", "out", "parent", "rank", "token")
 
     def __init__(self, name: str, label: str, parent: _Element | None, rank: int, hidden: bool):
         self.name, self.label, self.parent, self.rank, self.hidden = name, label, parent, rank, hidden
         self.token, self.depth = hash_of(f"{parent.token if parent else ''}/{name} {label}"), parent.depth + 1 if parent else 1
+        self.marked = rank > 1 or parent is not None and parent.marked
         self.chars, self.out = 0, None
 
     def up(self) -> Iterator[_Element]:
@@ -196,6 +199,7 @@ def _shown(blocks: Iterable[_Block]) -> Iterator[_Block]:
     return (b for b in blocks if b[1] is None or not b[1].out)
 
 
+@lru_cache(200_000)
 def word_token(path: int, word: str) -> int:
     return hash_of(f"{path} {word}")
 
@@ -204,8 +208,9 @@ def _path(e: _Element | None) -> int:
     return e.token if e is not None else 0
 
 
-def _tokens(blocks: Iterable[_Block], elements: Iterable[_Element]) -> Iterator[tuple[int, int]]:
-    """(token, path) of elements and of shown words; (0, 0) stands for the page as what holds text outside all elements."""
+def _tokens(blocks: Iterable[_Block], elements: Iterable[_Element], paths: Collection[int] | None = None) -> Iterator[tuple[int, int]]:
+    """(token, path) of elements and of shown words, of these paths if they are given; (0, 0) stands for the page as what
+    holds text outside all elements. Words in an article or main element are the article's own, so they are no tokens."""
     shown = list(_shown(blocks))
     if any(e is None for _, e in shown):
         yield 0, 0
@@ -213,8 +218,9 @@ def _tokens(blocks: Iterable[_Block], elements: Iterable[_Element]) -> Iterator[
         yield e.token, e.token
     for said, e in shown:
         path = _path(e)
-        for w in said.split():
-            yield word_token(path, w), path
+        if (paths is None or path in paths) and not (e is not None and e.marked):
+            for w in said.split():
+                yield word_token(path, w), path
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,9 +229,10 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     names = ["host", "path", "token", "pages", "vector", "most"]
 
     def flush() -> pa.RecordBatch:
-        signed = [(*k, p, ((v + (1 << 63)) % _MARK) - (1 << 63), m) for k, (p, v, m) in sums.items()]
+        n, keys, values = len(sums), list(sums), list(sums.values())
+        signed = (*(np.fromiter((k[i] for k in keys), np.int64, n) for i in range(3)), *(np.fromiter((v[i] for v in values), np.int64, n) for i in (0, 1, 2)))
         sums.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in signed], pa.int64()) for i in range(6)], names=names)
+        return pa.RecordBatch.from_arrays(list(map(pa.array, signed)), names=names)
 
     for batch in batches:
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html"), strict=True):
@@ -234,7 +241,7 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for (token, path), n in Counter(_tokens(*parse(page))).items():
                 s = sums.setdefault((host, path, token), [0, 0, 0])
                 s[0] += 1
-                s[1] += n * number
+                s[1] = ((s[1] + n * number + (1 << 63)) % _MARK) - (1 << 63)
                 s[2] = max(s[2], n)
             if len(sums) > 150_000:
                 yield flush()
@@ -276,10 +283,14 @@ def _see_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names=names)
 
     for batch in batches:
-        for host, page, tokens, vectors in zip(batch.column("h").to_pylist(), batch.column("html"), batch.column("tokens"), batch.column("vectors"), strict=True):
+        known: dict[int, tuple[dict[int, int], set[int]]] = {}  # of the batch's hosts
+        for i, (host, page) in enumerate(zip(batch.column("h").to_pylist(), batch.column("html"), strict=True)):
             blocks, elements = parse(page.as_py() or "")
-            classes = dict(zip(tokens.as_py() or (), vectors.as_py() or (), strict=True))
-            for (c, p), sequence in _sequences(_tokens(blocks, elements), classes).items():
+            if host not in known:
+                tokens, vectors, paths = (batch.column(c)[i].as_py() or () for c in ("tokens", "vectors", "paths"))
+                known[host] = dict(zip(tokens, vectors, strict=True)), set(paths)
+            classes, paths = known[host]
+            for (c, p), sequence in _sequences(_tokens(blocks, elements, paths), classes).items():
                 o = order_of(sequence)
                 s = orders.setdefault((host, c, p), [o, o, 0])
                 s[0], s[1] = (None, None) if o is None or s[0] is None else (min(s[0], o), max(s[1], o))
@@ -287,7 +298,7 @@ def _see_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh: Counter[int] = Counter()
             chars: Counter[int] = Counter()
             for said, e in _shown(blocks):
-                new = 0 if _is_template(said, _path(e), classes) else len(said)
+                new = 0 if _path(e) in paths and _is_template(said, _path(e), classes) else len(said)
                 for token in [None, *(x.token for x in e.up())] if e is not None else [None]:
                     fresh[token] += new
                     chars[token] += len(said)
@@ -321,8 +332,8 @@ def templates(pages: DataFrame, scratch: Scratch, url_col: str = "url", html_col
     many = tokens.join(of_path, ["host", "path"]).where(F.col("pages") >= SHARE * F.col("of"))
     size = many.groupBy("host", "vector").agg(F.count("*").alias("n")).where(F.col("n") >= MEMBERS).select("host", "vector")
     many = scratch.keep(many.join(size, ["host", "vector"]).select("host", "path", "token", "vector"))
-    candidates = scratch.keep(many.groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_list("vector").alias("vectors")).withColumnRenamed("host", "h"))
-    seen = with_host(own).join(candidates, "h", "left").select("h", "html", "tokens", "vectors")
+    candidates = scratch.keep(many.groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_list("vector").alias("vectors"), F.collect_set(F.when(F.col("token") != F.col("path"), F.col("path"))).alias("paths")).withColumnRenamed("host", "h"))
+    seen = with_host(own).join(candidates, "h", "left").select("h", "html", "tokens", "vectors", "paths")
     seen = scratch.keep(seen.mapInArrow(_see_pages, "kind long, host long, a long, b long, low long, high long, n long, fresh long, fresh_all long, chars long, all long, rank long, depth long").repartition("kind", "host", "a", "b"))
     orders = seen.where("kind = 0").groupBy("host", F.col("a").alias("vector"), F.col("b").alias("path"))
     valid = orders.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max(F.col("low").isNull()).alias("odd"), F.max("n").alias("n")).where(F.col("n") >= MEMBERS).where("low = high and not odd")

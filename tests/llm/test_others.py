@@ -111,7 +111,7 @@ def test_html_odd_markup():
     assert got("<form><div><h1>T</h1><p>all of it, the page is a form</p></div></form>") == "T all of it, the page is a form"
     assert got("<article><p>said</p><div class='discussion'><p>no, no, no and no again</p></div><div class=ad>buy</div><aside>more</aside></article>") == "said"
     assert got("<article><div class=comment>only this</div></article>") == "only this"
-    assert got("<ul><li>a<li>b</ul><table><tr><td>c<td>d<tr><td>e</table>") == "a b c d e"
+    assert got("<ul><li>a<li>b</ul>f g h i j k l<table><tr><td>c<td>d<tr><td>e</table>") == "a b f g h i j k l c d e"
     assert got('<a href="' + "x" * 200_000) == "" and got("<" * 50_000).count("<") == 50_000
 
 
