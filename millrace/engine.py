@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.model import Job
 from millrace.plans.planner import Plan, plan
-from millrace.validate import InvalidJob
+from millrace.validate import InvalidJob, validate
 
 
 @dataclass
@@ -32,16 +32,27 @@ class Run:
 
 
 def job_hash(job: Job) -> str:
-    """The same for jobs with the same content; functions count by their names."""
+    """The same for jobs with the same content. Functions count by their names, code, defaults and what they close over."""
+
+    def code(c: Any) -> Any:
+        return [c.co_code.hex(), list(c.co_names), [code(k) if hasattr(k, "co_code") else repr(k) for k in c.co_consts]]
+
+    def function(f: Any) -> Any:
+        held = [plain(c.cell_contents) for c in f.__closure__ or ()]
+        return [f.__qualname__, code(f.__code__), plain(list(f.__defaults__ or ())), held]
 
     def plain(x: Any) -> Any:
+        if hasattr(x, "__code__"):
+            return function(x)
         if isinstance(x, dict):
             return {str(k): plain(v) for k, v in sorted(x.items(), key=lambda i: str(i[0]))}
         if isinstance(x, list | tuple):
             return [plain(v) for v in x]
         if hasattr(x, "__dataclass_fields__"):
             return {k: plain(getattr(x, k)) for k in x.__dataclass_fields__}
-        return getattr(x, "__qualname__", None) or repr(x) if callable(x) or isinstance(x, DataFrame) else x
+        if isinstance(x, DataFrame):
+            return x._jdf.queryExecution().analyzed().canonicalized().toString()
+        return getattr(x, "__qualname__", None) or repr(x) if callable(x) else x
 
     return hashlib.sha256(pickle.dumps(plain(job), protocol=4)).hexdigest()
 
@@ -64,6 +75,7 @@ class Engine:
             return {"success": same, "job_id": id_} | ({} if same else {"error": "incorrect-job-hash"})
         run = Run(id_, job, hash_)
         try:
+            validate(job)
             context = {t.name: {} for t in job.catalog}
             run.plan = plan(self.spark, job, context) if not job.lifecycles else None
         except InvalidJob as e:

@@ -22,58 +22,41 @@ class Aggregation:
     merge: Callable[[Any, Any], Any] | None = None
 
 
-def _ordered(value: Column, seq: Sequence[str]) -> Column:
+def _as_is(c: Column) -> Column:
+    return c
+
+
+def _ordered(value: Column, seq: Sequence[str], own: Callable[[Column], Column]) -> Column:
     """Values in the order of arrival, as far as seq tells it."""
     if not seq:
-        return F.collect_list(value)
-    got = F.array_sort(F.collect_list(F.struct(*seq, value.alias("__v"))))
+        return own(F.collect_list(value))
+    got = F.array_sort(own(F.collect_list(F.struct(*seq, value.alias("__v")))))
     return F.transform(got, lambda x: x["__v"])
 
 
-def conj(columns: Sequence[str], seq: Sequence[str]) -> dict[str, Column]:
-    return {"state": _ordered(F.struct(*columns), seq)}
-
-
-def collect_key_value(key: str, seq: Sequence[str]) -> dict[str, Column]:
-    return {"state": _ordered(F.col(key), seq)}
-
-
-def total(key: str) -> dict[str, Column]:
-    return {"state": F.coalesce(F.sum(key), F.lit(0))}
-
-
-def count() -> dict[str, Column]:
-    return {"state": F.count(F.lit(1))}
-
-
-def least(key: str, init) -> dict[str, Column]:
-    return {"state": F.least(F.lit(init), F.min(key))}
-
-
-def greatest(key: str, init) -> dict[str, Column]:
-    return {"state": F.greatest(F.lit(init), F.max(key))}
-
-
-def average(key: str) -> dict[str, Column]:
-    return {"n": F.count(key), "sum": F.coalesce(F.sum(key), F.lit(0)), "average": F.sum(key) / F.count(key)}
-
-
 AGGREGATIONS = ("conj", "collect-by-key", "collect-key-value", "sum", "count", "min", "max", "average", "set-value")
 
 
-def columns_of(aggregation, init, columns: Sequence[str], seq: Sequence[str]) -> dict[str, Column]:
-    """State columns of a built-in aggregation, for groupBy().agg() and over() alike (but collect-by-key, which groups
-    twice; see windows.aggregate)."""
+def columns_of(aggregation, init, columns: Sequence[str], seq: Sequence[str], own: Callable[[Column], Column] = _as_is) -> dict[str, Column]:
+    """State columns of a built-in aggregation (but collect-by-key, which groups twice; see windows.aggregate), for
+    groupBy().agg(). Running states give `own`, which puts each aggregate over a window."""
     name, key = (aggregation, None) if isinstance(aggregation, str) else aggregation
     if name == "conj":
-        return conj(columns, seq)
+        return {"state": _ordered(F.struct(*columns), seq, own)}
     if name == "collect-key-value":
-        return collect_key_value(key, seq)
+        return {"state": _ordered(F.col(key), seq, own)}
     if name == "set-value":
-        return {"state": F.max_by(key, F.struct(*seq)) if seq else F.last(key)}
-    if name in ("min", "max"):
-        return least(key, init) if name == "min" else greatest(key, init)
-    return {"sum": lambda: total(key), "count": count, "average": lambda: average(key)}[name]()
+        return {"state": own(F.max_by(key, F.struct(*seq)) if seq else F.last(key))}
+    if name == "count":
+        return {"state": own(F.count(F.lit(1)))}
+    if name == "min":
+        return {"state": F.least(F.lit(init), own(F.min(key)))}
+    if name == "max":
+        return {"state": F.greatest(F.lit(init), own(F.max(key)))}
+    total = F.coalesce(own(F.sum(key)), F.lit(0))
+    if name == "sum":
+        return {"state": total}
+    return {"n": own(F.count(key)), "sum": total, "average": own(F.sum(key)) / own(F.count(key))}
 
 
 def fold_of(aggregation, init) -> Aggregation:

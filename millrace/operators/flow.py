@@ -44,24 +44,39 @@ def relevant(conditions: Sequence[FlowCondition], task: str, egress: Sequence[st
     return [c for c in conditions if c.from_ == task or c.from_ == "all" and (isinstance(c.to, str) or set(c.to) <= set(egress))]
 
 
-def _fold(entries: Sequence[FlowCondition], hits: Sequence[Column], egress: Sequence[str]) -> tuple[dict[str, Column], dict[str, list[Column]], list[Column]]:
-    """(edge -> taken, key -> columns that exclude it, entry -> matched). Entries count in order: a match adds its
-    edges, 'none' takes all back, and a match that short-circuits ends the search."""
+def _edges_of(to: Sequence[str] | str | None, egress: Sequence[str]) -> list[str]:
+    """The edges that a condition's `to` names: 'all' is all of them, 'none' is none."""
+    return list(egress) if to == "all" else [] if to is None or isinstance(to, str) else [e for e in egress if e in to]
+
+
+def _fold(entries: Sequence[FlowCondition], hits: Sequence[Column], egress: Sequence[str], errors: Sequence[Column | None] = ()) -> tuple[dict[str, Column], dict[str, list[Column]], list[Column], list[tuple[FlowCondition, Column, dict[str, Column], dict[str, list[Column]]]]]:
+    """(edge -> taken, key -> columns that exclude it, entry -> matched, failures). Entries count in order: a match adds its
+    edges, 'none' takes all back, and a match that short-circuits ends the search. So does a predicate that raises
+    (its error column is true): a failure is its entry, where it failed, and for each edge whether it goes there, that is to
+    the edges taken so far and to predicate_errors_to, and the keys that are excluded by then."""
     live: Column = F.lit(True)
     taken: dict[str, Column] = {e: F.lit(False) for e in egress}
     excluded: dict[str, list[Column]] = {}
-    matched = []
-    for c, hit in zip(entries, hits, strict=True):
+    matched, failures = [], []
+    for c, hit, error in zip(entries, hits, errors or [None] * len(entries), strict=True):
+        if error is not None:
+            bad = live & error
+            to = _edges_of(c.predicate_errors_to, egress)
+            failures.append((c, bad, {e: F.lit(True) if e in to else taken[e] for e in egress}, {k: list(v) for k, v in excluded.items()}))
+            live = live & ~error
         m = live & hit
         matched.append(m)
-        to = list(egress) if c.to == "all" else [] if c.to == "none" or c.action == "retry" else list(c.to)
+        back = c.to == "none" or c.action == "retry"
+        to = [] if back else _edges_of(c.to, egress)
         for e in egress:
-            taken[e] = taken[e] & ~m if c.to == "none" or c.action == "retry" else taken[e] | m if e in to else taken[e]
+            taken[e] = taken[e] & ~m if back else taken[e] | m if e in to else taken[e]
         for k in c.exclude_keys:
             excluded.setdefault(k, []).append(m)
         if c.short_circuit:
             live = live & ~hit
-    return taken, excluded, matched
+    for _, bad, _, _ in failures:
+        taken = {e: t & ~bad for e, t in taken.items()}
+    return taken, excluded, matched, failures
 
 
 def _send(df: DataFrame, edge: str, entries: Sequence[FlowCondition], taken: dict[str, Column], excluded: dict[str, list[Column]]) -> DataFrame:
@@ -85,7 +100,9 @@ def route(df: DataFrame, task: str, egress: Sequence[str], conditions: Sequence[
     Without any conditions in the job, every edge gets every segment. With conditions, a segment that matches none is
     dropped; a task that has only conditions on exceptions sends the rest to the edges that those don't name.
     Errors go by the conditions on exceptions alone; where there are none, they fail the job.
-    A predicate that itself raises (a Python predicate marked by predicate_errors_to) goes to those edges.
+    A condition with predicate_errors_to has a Python predicate of dicts, which may raise: the segment then takes no more
+    conditions and goes, made anew by post_transform from (event, rows with the structs old and new, error), to the edges
+    that it has by then and to predicate_errors_to. Without a post_transform the error fails the job.
     """
     event, own = event or {}, relevant(conditions, task, egress)
     normal, thrown = [c for c in own if not c.thrown_exception], [c for c in own if c.thrown_exception]
@@ -98,14 +115,23 @@ def route(df: DataFrame, task: str, egress: Sequence[str], conditions: Sequence[
         named = {e for c in thrown for e in (egress if c.to == "all" else () if c.to == "none" else c.to)}
         out = {e: plain.select(*names) if e not in named else plain.select(*names).where(F.lit(False)) for e in egress}
     else:
-        hits = [compile_predicate(c.predicate, c, event, old, new, [new]) for c in normal]
-        taken, excluded, _ = _fold(normal, hits, egress)
-        out = {e: _send(plain, e, normal, taken, excluded).drop(ERROR, OLD) for e in egress}
+        guards = {i: c for i, c in enumerate(normal) if c.predicate_errors_to}
+        for i, c in guards.items():
+            plain = guard_predicate(plain, c, f"__guard{i}", names)
+        hits = [F.col(f"__guard{i}.hit") if i in guards else compile_predicate(c.predicate, c, event, old, new, [new]) for i, c in enumerate(normal)]
+        errors = [F.col(f"__guard{i}.error").isNotNull() if i in guards else None for i in range(len(normal))]
+        taken, excluded, _, failures = _fold(normal, hits, egress, errors)
+        out = {e: _send(plain, e, normal, taken, excluded).drop(ERROR, OLD, *(f"__guard{i}" for i in guards)) for e in egress}
+        for i, (c, bad, goes, without) in zip(guards, failures, strict=True):
+            for e in egress:
+                rows = plain.where(bad & goes[e]).select((F.col(OLD) if OLD in plain.columns else F.struct(*names)).alias("old"), F.struct(*names).alias("new"), F.col(f"__guard{i}.error").alias(ERROR))
+                rows = c.post_transform(event, rows, ERROR) if c.post_transform else rows.withColumn(ERROR, F.raise_error(F.col(f"{ERROR}.message")))
+                out[e] = out[e].unionByName(rows.drop(*c.exclude_keys, *without), allowMissingColumns=True)
     if ERROR in df.columns and thrown:
         bad = df.where(F.col(ERROR).isNotNull())
         error = Segment(ERROR)
         hits = [compile_predicate(c.predicate, c, event, old, error, [error]) for c in thrown]
-        taken, excluded, matched = _fold(thrown, hits, egress)
+        taken, excluded, matched, _ = _fold(thrown, hits, egress)
         for e in egress:
             for c, m in zip(thrown, matched, strict=True):
                 if c.to == "all" or not isinstance(c.to, str) and e in c.to:
@@ -116,35 +142,21 @@ def route(df: DataFrame, task: str, egress: Sequence[str], conditions: Sequence[
     return out
 
 
-def guard_predicate(df: DataFrame, fn, params: Sequence[Any] = ()) -> DataFrame:
-    """df with _hit (boolean) and _pred_error (struct): a Python predicate of dicts (old, new) that may raise."""
-    old = F.col(OLD) if OLD in df.columns else F.struct(*df.columns)
-    names = [c for c in df.columns if c not in (OLD, ERROR)]
+def guard_predicate(df: DataFrame, condition: FlowCondition, out: str, names: Sequence[str]) -> DataFrame:
+    """df with the struct `out` of hit (boolean) and error (kind and message, null where there was none): what a Python
+    predicate of dicts (event, old, new, all_new, *params) says of each row, in Arrow batches."""
+    fn, *keys = condition.predicate if isinstance(condition.predicate, list | tuple) else [condition.predicate]
+    if not callable(fn):
+        raise ValueError("a condition with predicate_errors_to has one Python predicate, not a combination")
+    params = [condition.params[k] for k in keys]
+    plain = lambda row: row.asDict(True) if hasattr(row, "asDict") else dict(row)
 
-    @F.udf("struct<hit:boolean,error:struct<type:string,message:string>>", useArrow=False)
+    @F.udf("struct<hit:boolean,error:struct<type:string,message:string>>", useArrow=True)
     def call(o, n):
         try:
-            return bool(fn({}, o.asDict(True), n.asDict(True), [n.asDict(True)], *params)), None
+            new = plain(n)
+            return bool(fn({}, plain(o), new, [new], *params)), None
         except Exception as e:
-            return None, (type(e).__name__, str(e))
-
-    got = df.withColumn("_got", call(old, F.struct(*names)))
-    return got.select(*df.columns, F.coalesce("_got.hit", F.lit(False)).alias("_hit"), F.col("_got.error").alias("_pred_error"))
+            return False, (type(e).__name__, str(e))
 
-
-def route_guarded(df: DataFrame, condition: FlowCondition, egress: Sequence[str]) -> dict[str, DataFrame]:
-    """One condition whose Python predicate may raise: true goes to its edges, raised to predicate_errors_to after
-    post_transform, which gets struct columns old and new. Without post_transform the error fails the job."""
-    fn, *keys = condition.predicate if isinstance(condition.predicate, list | tuple) else [condition.predicate]
-    names = [c for c in df.columns if c not in (OLD, ERROR)]
-    got = guard_predicate(df, fn, [condition.params[k] for k in keys])
-    out = {}
-    for e in egress:
-        rows = got.where("_hit and _pred_error is null").select(*names) if e in condition.to else got.where("false").select(*names)
-        if condition.predicate_errors_to and e in condition.predicate_errors_to:
-            old = F.col(OLD) if OLD in df.columns else F.struct(*names)
-            bad = got.where("_pred_error is not null").select(old.alias("old"), F.struct(*names).alias("new"), F.col("_pred_error").alias(ERROR))
-            bad = condition.post_transform({}, bad, ERROR) if condition.post_transform else bad.withColumn(ERROR, F.raise_error(F.col(f"{ERROR}.message")))
-            rows = rows.unionByName(bad, allowMissingColumns=True)
-        out[e] = rows
-    return out
+    return df.withColumn(out, call(F.col(OLD) if OLD in df.columns else F.struct(*names), F.struct(*names)))

@@ -37,6 +37,8 @@ def replay(df: DataFrame, window: Window, trigger: Trigger, groups: Sequence[str
     each fire. completion adds the release of what is there at the end, with a null fire_seq.
     Sessions fire at completion only, as their extents merge until then.
     """
+    if trigger.refinement is not None:
+        raise ValueError(f"trigger {trigger.id}: a refinement changes the state from fire to fire, which only a stream's trigger does")
     if window.type == "session" or trigger.on == "watermark":
         return final_state(df, window, groups, (seq,))
     columns = [c for c in df.columns if c not in BOUNDS]
@@ -50,8 +52,8 @@ def replay(df: DataFrame, window: Window, trigger: Trigger, groups: Sequence[str
         epoch = F.floor((F.col("__rn") - 1) / n).cast("long") if trigger.fire_all_extents and n else F.coalesce(ran, F.lit(0)).cast("long")
         rows, extent = rows.withColumn("__epoch", epoch), [*extent, "__epoch"]
     running = W.partitionBy(*extent).orderBy(seq).rowsBetween(W.unboundedPreceding, W.currentRow)
-    state = columns_of(window.aggregation, window.init, columns, (seq,))
-    own = rows.withColumns({f"__s_{k}": c.over(running) for k, c in state.items()})
+    state = columns_of(window.aggregation, window.init, columns, (seq,), lambda c: c.over(running))
+    own = rows.withColumns({f"__s_{k}": c for k, c in state.items()})
     released = [F.col(f"__s_{k}").alias(k) for k in state]
     if not trigger.fire_all_extents:
         out = own.where("__fire").select(*groups, *BOUNDS, F.col(seq).alias("fire_seq"), *released)

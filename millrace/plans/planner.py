@@ -79,8 +79,6 @@ def plan(spark: SparkSession, job: Job, context: dict[str, dict] | None = None)
         if not egress:
             made.outputs[name] = out
             continue
-        guarded = next((c for c in own if c.predicate_errors_to), None)
-        routed = flow.route_guarded(out, guarded, egress) if guarded is not None else flow.route(out, name, egress, job.flow_conditions, event)
-        for b, rows in routed.items():
+        for b, rows in flow.route(out, name, egress, job.flow_conditions, event).items():
             made.edges[name, b] = rows
     return made

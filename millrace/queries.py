@@ -109,10 +109,10 @@ def diamond_dag(spark, sf):
     return plan(spark, Job([("in", "a"), ("in", "b"), ("a", "out"), ("b", "out")], catalog)).outputs["out"]
 
 
-@query("SELECT text AS line FROM documents WHERE doc_id % 10 = 3")
+@query("SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents")
 def text_lines(spark, sf):
-    keep = lambda df: df.where("doc_id % 10 = 3").select(F.col("text").alias("line"))
-    return _through(spark, _read("documents")(spark, sf), Task("keep", "function", fn=keep))["out"]
+    lines = lambda df: df.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return _through(spark, _read("documents")(spark, sf), Task("lines", "function", fn=lines))["out"]
 
 
 # -- grouping and windows
@@ -165,15 +165,16 @@ def fixed_max_init(spark, sf):
     return _windowed(_events(spark, sf), ["event_type"], type="fixed", window_key="ts", range=DAY, aggregation=("max", "value"), init=10.0)
 
 
-@query(_fixed_sql("CAST(count(value) AS BIGINT) AS n, round(coalesce(sum(value), 0), 4) AS sum, round(sum(value) / count(value), 4) AS average"))
+@query(_fixed_sql("CAST(count(value) AS BIGINT) AS n, round(coalesce(sum(value), 0), 4) AS sum, abs(sum(value) / count(value) * count(value) - sum(value)) < 1e-6 AS average_fits"))
 def fixed_average(spark, sf):
+    """The average is told by the count and the sum: rounded, it can lie halfway between two numbers of four places."""
     out = _windowed(_events(spark, sf), ["event_type"], type="fixed", window_key="ts", range=DAY, aggregation=("average", "value"))
-    return out.withColumns({c: F.round(c, 4) for c in ("sum", "average")})
+    return out.select("event_type", "lower_ms", "upper_ms", "n", F.round("sum", 4).alias("sum"), (F.abs(F.col("average") * F.col("n") - F.col("sum")) < 1e-6).alias("average_fits"))
 
 
-@query("SELECT 50 + (event_id // 1) * 0 + ((event_id - 50) // 120) * 120 AS lower_ms, 50 + ((event_id - 50) // 120) * 120 + 119 AS upper_ms, CAST(count(*) AS BIGINT) AS state FROM events WHERE event_id >= 50 GROUP BY ALL")
+@query("WITH w AS (SELECT CAST(floor((event_id - 50) / 120) AS BIGINT) AS w FROM events) SELECT greatest(50, 50 + w * 120) AS lower_ms, 50 + w * 120 + 119 AS upper_ms, CAST(count(*) AS BIGINT) AS state FROM w GROUP BY ALL")
 def fixed_min_value(spark, sf):
-    return _windowed(_events(spark, sf).where("event_id >= 50"), type="fixed", window_key="event_id", range=(120, "elements"), min_value=50, aggregation="count")
+    return _windowed(_events(spark, sf), type="fixed", window_key="event_id", range=(120, "elements"), min_value=50, aggregation="count")
 
 
 def _sliding_sql(range_: int, slide: int, key: str, table: str, groups: str = "") -> str:
@@ -222,10 +223,10 @@ def session_sum(spark, sf):
     return _windowed(_events(spark, sf), ["user_id"], type="session", window_key="ts", timeout_gap=(6, "hours"), aggregation=("sum", "value")).withColumn("state", F.round("state", 4))
 
 
-@query("""WITH p AS (SELECT DISTINCT l_partkey * 7 AS k FROM lineitem WHERE l_partkey % 11 < 4), l AS (SELECT k, CASE WHEN k - lag(k) OVER (ORDER BY k) <= 14 THEN 0 ELSE 1 END AS f FROM p),
+@query("""WITH p AS (SELECT DISTINCT l_partkey * 7 + 100 * (l_partkey // 4) AS k FROM lineitem), l AS (SELECT k, CASE WHEN k - lag(k) OVER (ORDER BY k) <= 14 THEN 0 ELSE 1 END AS f FROM p),
 s AS (SELECT k, sum(f) OVER (ORDER BY k) AS s FROM l) SELECT min(k) AS lower_ms, max(k) AS upper_ms, CAST(count(*) AS BIGINT) AS state FROM s GROUP BY s""")
 def session_elements(spark, sf):
-    keys = _lineitem(spark, sf).where("l_partkey % 11 < 4").select((F.col("l_partkey") * 7).alias("k")).distinct()
+    keys = _lineitem(spark, sf).select((F.col("l_partkey") * 7 + 100 * F.floor(F.col("l_partkey") / 4)).alias("k")).distinct()
     return _windowed(keys, type="session", window_key="k", timeout_gap=(14, "elements"), aggregation="count")
 
 
@@ -371,6 +372,32 @@ def flow_pred_error(spark, sf):
     return _edges(_through(spark, _orders(spark, sf).select("o_orderkey"), Task("look", "function", fn=lambda df: df), [condition], ["good", "bad"]), "o_orderkey")
 
 
+@query(_edge_sql(("good", "c_custkey % 5 > 0 AND c_custkey % 2 = 1"), ("other", "c_acctbal >= 5000"), ("last", "c_custkey % 5 > 0"), ("bad", "c_custkey % 5 = 0")))
+def flow_pred_error_with_others(spark, sf):
+    """A predicate that raises beside conditions before and after it; what is left of a failed segment takes the edges so far."""
+
+    def odd(event, old, new, all_new):
+        if new["c_custkey"] % 5 == 0:
+            raise KeyError("five")
+        return new["c_custkey"] % 2 == 1
+
+    fix = lambda event, rows, error: rows.select("new.c_custkey")
+    conditions = [_fc(["other"], [balance_over, "least"], params={"least": 5000}), FlowCondition("split", ["good"], odd, predicate_errors_to=["bad"], post_transform=fix), _fc(["last"], always)]
+    return _edges(_through(spark, _customer(spark, sf), Task("split", "function", fn=lambda df: df.select("c_custkey", "c_acctbal")), conditions, ["good", "other", "last", "bad"]), "c_custkey")
+
+
+@query(_edge_sql(("a", "c_custkey % 5 = 0 OR c_custkey % 2 = 1"), ("out", "c_custkey % 5 = 0"), ("rest", "c_custkey % 5 = 0")))
+def flow_pred_error_to_all(spark, sf):
+    def odd(event, old, new, all_new, n):
+        if new["c_custkey"] % n == 0:
+            raise ValueError("divisible")
+        return new["c_custkey"] % 2 == 1
+
+    fix = lambda event, rows, error: rows.select("new.c_custkey")
+    condition = FlowCondition("split", ["a"], [odd, "n"], params={"n": 5}, predicate_errors_to="all", post_transform=fix)
+    return _edges(_through(spark, _customer(spark, sf), Task("split", "function", fn=lambda df: df.select("c_custkey")), [condition], ["a", "out", "rest"]), "c_custkey")
+
+
 # -- triggers
 
 

@@ -102,7 +102,7 @@ def _conditions(job: Job):
         if c.from_ != "all" and c.from_ not in names:
             yield f"a condition is from {c.from_}, which is not a task"
         elif c.from_ != "all" and not isinstance(c.to, str):
-            for b in [*c.to, *(c.predicate_errors_to or ())]:
+            for b in [*c.to, *(() if isinstance(c.predicate_errors_to, str) else c.predicate_errors_to or ())]:
                 if b not in job.out_of(c.from_):
                     yield f"a condition sends from {c.from_} to {b}, which is no edge"
         if isinstance(c.to, str) and c.to not in ("all", "none"):

@@ -33,11 +33,7 @@ def rows(names, found):
     return [names[i] for i in at], sorted((tuple(plain(r[i]) for i in at) for r in found), key=repr)
 
 
-#: The average 307.03 / 8 lies halfway between two 4-digit numbers; Spark rounds its decimal form up, DuckDB its binary form down.
-TIES = {"fixed_average"}
-
-
-@pytest.mark.parametrize("name", [pytest.param(n, marks=pytest.mark.xfail(reason="a tie in rounding", strict=False)) if n in TIES else n for n in sorted(queries.oracle_sql())])
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     got = queries.queries()[name](spark, SF)
     want = duck.execute(queries.oracle_sql()[name])
