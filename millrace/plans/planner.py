@@ -14,6 +14,8 @@ from millrace.model import Window as JobWindow
 from millrace.operators import flow, triggers
 from millrace.operators.grouping import grouped
 from millrace.operators.transform import ERROR, OLD, segments
+from millrace.streaming import processors
+from millrace.units import standard
 from millrace.validate import validate
 
 
@@ -45,6 +47,11 @@ def apply_fn(df: DataFrame, task: Task, params: tuple, capture: bool, keep_old:
 
 def released(df: DataFrame, task: Task, window: JobWindow, trigger: Trigger) -> DataFrame:
     df, groups = grouped(df, task)
+    if df.isStreaming:
+        if trigger.on != "watermark":
+            return processors.triggered(df, window, trigger, groups, task.seq)
+        delay = f"{standard(trigger.delay)[0]} milliseconds" if trigger.delay else task.watermark_delay
+        return processors.windowed(df, window, groups, delay)
     if trigger.on in ("watermark", "timer"):
         return triggers.final_state(df, window, groups, (task.seq,) if task.seq else ())
     if task.seq is None:

@@ -14,6 +14,7 @@ from millrace.operators.aggregations import Aggregation
 from millrace.operators.triggers import replay
 from millrace.operators.windows import aggregate
 from millrace.plans.planner import plan
+from millrace.streaming.fold import CustomTrigger
 from millrace.streaming.processors import ROCKS, drain, triggered, windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -420,6 +421,22 @@ def trigger_segment(spark, sf):
     return _replayed(spark, sf, _segment(5))
 
 
+@query(_RUN + " SELECT user_id, lower_ms, lower_ms + 86399999 AS upper_ms, event_id AS fire_seq, round(s, 4) AS state FROM (SELECT e.*, sum(value) OVER (PARTITION BY e.user_id, lower_ms ORDER BY e.event_id) AS s FROM e JOIN events v ON v.event_id = e.event_id) WHERE rn % 5 = 0")
+def trigger_segment_sum(spark, sf):
+    return _replayed(spark, sf, _segment(5), aggregation=("sum", "value")).withColumn("state", F.round("state", 4))
+
+
+@query(_RUN + " SELECT user_id, event_id AS fire_seq, n, round(s, 4) AS sum FROM (SELECT e.*, count(value) OVER w AS n, sum(value) OVER w AS s FROM e JOIN events v ON v.event_id = e.event_id WINDOW w AS (PARTITION BY e.user_id ORDER BY e.event_id)) WHERE rn % 7 = 0")
+def trigger_segment_average(spark, sf):
+    return _replayed(spark, sf, _segment(7), window={"type": "global"}, aggregation=("average", "value")).select("user_id", "fire_seq", "n", F.round("sum", 4).alias("sum"))
+
+
+@query(_RUN + " SELECT user_id, lower_ms, lower_ms + 86399999 AS upper_ms, event_id AS fire_seq, greatest(10.0::DOUBLE, m) AS state FROM (SELECT e.*, max(value) OVER (PARTITION BY e.user_id, lower_ms ORDER BY e.event_id) AS m FROM e JOIN events v ON v.event_id = e.event_id) WHERE rn % 5 = 0")
+def trigger_segment_max(spark, sf):
+    w = {"type": "fixed", "window_key": "ts", "range": DAY, "init": 10.0}
+    return _replayed(spark, sf, _segment(5), window=w, aggregation=("max", "value"))
+
+
 @query(_RUN + """, r AS (SELECT *, count(*) OVER (PARTITION BY user_id, lower_ms ORDER BY event_id) AS c FROM e), f AS (SELECT user_id, event_id AS fire_seq, rn AS frn FROM x WHERE rn % 5 = 0)
 SELECT f.user_id, lower_ms, lower_ms + 86399999 AS upper_ms, fire_seq, max_by(c, rn) AS state FROM f JOIN r ON r.user_id = f.user_id AND r.rn <= frn GROUP BY f.user_id, lower_ms, fire_seq""")
 def trigger_segment_all(spark, sf):
@@ -580,3 +597,37 @@ def stream_segment_trigger(spark, sf):
     _small(spark)
     out = triggered(_stream(spark, sf).select("event_id", "event_type"), Window("w", "t", "global", "count"), _segment(5), ["event_type"], "event_id")
     return drain(out.select("event_type", "fire_seq", "state"), f"millrace_segment_{next(_STREAMS)}", "update")
+
+
+def _streamed_job(spark, sf, window: Window, trigger: Trigger, name: str, mode: str, group: str = "event_type") -> DataFrame:
+    """A planned job over a stream: its reduce task's releases, run over what there is."""
+    _small(spark)
+    catalog = [Task("in", "input", source=sources.frame(_stream(spark, sf).select("event_id", "event_type", "user_id", "ts", "value"))), Task("sum", "reduce", group_by_key=group, flux_policy="continue", seq="event_id"), Task("out", "output")]
+    out = plan(spark, Job([("in", "sum"), ("sum", "out")], catalog, windows=[window], triggers=[trigger])).outputs["out"]
+    return drain(out, f"millrace_{name}_{next(_STREAMS)}", mode)
+
+
+@query("SELECT event_type, event_id AS fire_seq, CAST(c AS VARCHAR) AS state FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS c FROM events) WHERE c % 9 = 0")
+def stream_job_segment(spark, sf):
+    return _streamed_job(spark, sf, Window("w", "sum", "global", "count"), _segment(9), "job_segment", "update").select("event_type", "fire_seq", "state")
+
+
+@query("SELECT event_type, event_id AS fire_seq, CAST(c AS VARCHAR) AS state FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS c FROM events) WHERE user_id % 10 = 0")
+def stream_job_punctuation(spark, sf):
+    trigger = Trigger("g", "w", "punctuation", pred=lambda t, event: event["type"] == "new-segment" and event["segment"]["user_id"] % 10 == 0, emit=lambda df: df)
+    return _streamed_job(spark, sf, Window("w", "sum", "global", "count"), trigger, "job_punctuation", "update").select("event_type", "fire_seq", "state")
+
+
+@query("SELECT event_type, CAST(count(*) * 2 AS VARCHAR) AS state, max(event_id) AS fire_seq FROM events GROUP BY event_type HAVING count(*) % 2 = 0 UNION ALL SELECT event_type, CAST((count(*) - 1) * 2 AS VARCHAR), max(event_id) FILTER (WHERE last > 1) FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS last FROM events) GROUP BY event_type HAVING count(*) % 2 = 1")
+def stream_job_custom(spark, sf):
+    """A custom trigger that fires at every second segment of a group: the last release of each, twice its count."""
+    second = Trigger("g", "w", CustomTrigger(0, lambda t, state, event: state + 1, lambda t, state, event, extent: event["type"] == "new-segment" and state % 2 == 0), emit=lambda df: df)
+    out = _streamed_job(spark, sf, Window("w", "sum", "global", "count"), second, "job_custom", "update")
+    return out.groupBy("event_type").agg(F.max_by("state", "fire_seq").alias("state"), F.max("fire_seq").alias("fire_seq")).withColumn("state", (F.col("state").cast("long") * 2).cast("string"))
+
+
+@query(f"SELECT * FROM ({_fixed_sql('CAST(count(*) AS BIGINT) AS state')}) WHERE upper_ms < (SELECT max(epoch_us(ts) // 1000) FROM events)")
+def stream_job_watermark(spark, sf):
+    """Extents that the watermark has passed, each once; the last day is still open."""
+    trigger = Trigger("g", "w", "watermark", state_context=("window-state",), post_evictor="all", emit=lambda df: df)
+    return _streamed_job(spark, sf, Window("w", "sum", "fixed", "count", window_key="ts", range=DAY), trigger, "job_watermark", "append")

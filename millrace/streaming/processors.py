@@ -31,7 +31,8 @@ class WindowProcessor(StatefulProcessor):
         self.own = handle.getValueState("trigger", "state string")
 
     def _load(self) -> Group:
-        open_ = {tuple(k) if k[0] is not None and k[1] != -1 else GLOBAL: json.loads(v[0]) for k, v in self.extents.iterator()}
+        # No extent ends before it begins, so (0, -1) can stand for the global one.
+        open_ = {GLOBAL if tuple(k) == (0, -1) else tuple(k): json.loads(v[0]) for k, v in self.extents.iterator()}
         return Group(open_, json.loads(self.own.get()[0]) if self.own.exists() else None)
 
     def _save(self, group: Group, before: set) -> None:
