@@ -15,7 +15,7 @@ from millrace.operators.triggers import replay
 from millrace.operators.windows import aggregate
 from millrace.plans.planner import plan
 from millrace.streaming.fold import CustomTrigger
-from millrace.streaming.processors import ROCKS, drain, triggered, windowed
+from millrace.streaming.processors import drain, triggered, windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -567,44 +567,35 @@ def _stream(spark: SparkSession, sf: str, name: str = "events") -> DataFrame:
     return sources.stream_files(sf, schema, pathGlobFilter=f"{name}.parquet")(spark)
 
 
-def _small(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-
-
-_STREAMS = iter(range(1 << 30))
-
-
 @query(_fixed_sql("CAST(count(*) AS BIGINT) AS state"))
 def stream_fixed_count(spark, sf):
     out = windowed(_stream(spark, sf), Window("w", "t", "fixed", "count", window_key="ts", range=DAY), ["event_type"])
-    return drain(out, f"millrace_fixed_{next(_STREAMS)}", "complete")
+    return drain(out, "fixed", "complete")
 
 
 @query(_sliding_sql(6 * HOUR, 2 * HOUR, "(epoch_us(ts) // 1000)", "events"))
 def stream_sliding_count(spark, sf):
     out = windowed(_stream(spark, sf), Window("w", "t", "sliding", "count", window_key="ts", range=(6, "hours"), slide=(2, "hours")))
-    return drain(out, f"millrace_sliding_{next(_STREAMS)}", "complete")
+    return drain(out, "sliding", "complete")
 
 
 @query(_SESSIONS.format("CAST(count(*) AS BIGINT)"))
 def stream_session_count(spark, sf):
     out = windowed(_stream(spark, sf), Window("w", "t", "session", "count", window_key="ts", timeout_gap=(6, "hours")), ["user_id"])
-    return drain(out, f"millrace_session_{next(_STREAMS)}", "complete")
+    return drain(out, "session", "complete")
 
 
 @query("SELECT event_type, event_id AS fire_seq, CAST(c AS VARCHAR) AS state FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS c FROM events) WHERE c % 5 = 0")
 def stream_segment_trigger(spark, sf):
-    _small(spark)
     out = triggered(_stream(spark, sf).select("event_id", "event_type"), Window("w", "t", "global", "count"), _segment(5), ["event_type"], "event_id")
-    return drain(out.select("event_type", "fire_seq", "state"), f"millrace_segment_{next(_STREAMS)}", "update")
+    return drain(out.select("event_type", "fire_seq", "state"), "segment", "update")
 
 
 def _streamed_job(spark, sf, window: Window, trigger: Trigger, name: str, mode: str, group: str = "event_type") -> DataFrame:
     """A planned job over a stream: its reduce task's releases, run over what there is."""
-    _small(spark)
     catalog = [Task("in", "input", source=sources.frame(_stream(spark, sf).select("event_id", "event_type", "user_id", "ts", "value"))), Task("sum", "reduce", group_by_key=group, flux_policy="continue", seq="event_id"), Task("out", "output")]
     out = plan(spark, Job([("in", "sum"), ("sum", "out")], catalog, windows=[window], triggers=[trigger])).outputs["out"]
-    return drain(out, f"millrace_{name}_{next(_STREAMS)}", mode)
+    return drain(out, name, mode)
 
 
 @query("SELECT event_type, event_id AS fire_seq, CAST(c AS VARCHAR) AS state FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS c FROM events) WHERE c % 9 = 0")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -11,44 +12,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
+from millrace import shared
 from millrace.model import Trigger, Window
 from millrace.operators.windows import key_ms
 from millrace.streaming.fold import GLOBAL, Fold, Group
 
+#: Spark's setting of the state store, and the one that processors need.
+STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class WindowProcessor(StatefulProcessor):
-    """Holds a group's extents in a map and the trigger's own state in a value. Late segments re-open or update
-    their extents; nothing is dropped. Rows of a batch are taken in the order of seq."""
+    """Holds a group's extents in a map and the trigger's own state in a value, pickled, so states keep their types. Late
+    segments re-open or update their extents; nothing is dropped. Rows of a batch are taken in the order of seq."""
 
     def __init__(self, fold: Fold, seq: str | None, keys: Sequence[str]):
         self.fold, self.seq, self.keys = fold, seq, list(keys)
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.extents = handle.getMapState("extents", "lower long, upper long", "state string")
-        self.own = handle.getValueState("trigger", "state string")
+        self.extents = handle.getMapState("extents", "lower long, upper long", "state binary")
+        self.own = handle.getValueState("trigger", "state binary")
 
-    def _load(self) -> Group:
-        # No extent ends before it begins, so (0, -1) can stand for the global one.
-        open_ = {GLOBAL if tuple(k) == (0, -1) else tuple(k): json.loads(v[0]) for k, v in self.extents.iterator()}
-        return Group(open_, json.loads(self.own.get()[0]) if self.own.exists() else None)
+    def _load(self) -> tuple[Group, dict]:
+        """The group, and its extents as they are stored. No extent ends before it begins, so (0, -1) can stand for the
+        global one."""
+        stored = {GLOBAL if tuple(k) == (0, -1) else tuple(k): bytes(v[0]) for k, v in self.extents.iterator()}
+        return Group({e: pickle.loads(s) for e, s in stored.items()}, pickle.loads(bytes(self.own.get()[0])) if self.own.exists() else None), stored
 
-    def _save(self, group: Group, before: set) -> None:
+    def _save(self, group: Group, stored: dict) -> None:
+        """Writes the extents that changed."""
         at = lambda e: (0, -1) if e == GLOBAL else e
-        for e in before - set(group.extents):
+        for e in set(stored) - set(group.extents):
             self.extents.removeKey(at(e))
         for e, s in group.extents.items():
-            self.extents.updateValue(at(e), (json.dumps(s, default=str),))
-        self.own.update((json.dumps(group.trigger),))
+            if (made := pickle.dumps(s)) != stored.get(e):
+                self.extents.updateValue(at(e), (made,))
+        self.own.update((pickle.dumps(group.trigger),))
 
     def _rows(self, key: tuple, fired: list, seq) -> pd.DataFrame:
         return pd.DataFrame([[*key, e[0], e[1], s, json.dumps(state, default=str)] for s, e, state in fired], columns=[*self.keys, "lower_ms", "upper_ms", "fire_seq", "state"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        group = self._load()
-        before, fired = set(group.extents), []
+        (group, stored), fired = self._load(), []
         got = pd.concat(list(rows))
         for r in (got.sort_values(self.seq) if self.seq else got).to_dict("records"):
             t = r.pop("__t", None)
@@ -56,15 +62,14 @@ class WindowProcessor(StatefulProcessor):
             fired += [(r.get(self.seq), e, s) for e, s in self.fold.event(group, event)]
         if self.fold.trigger.on == "timer" and group.trigger is not None:
             self.handle.registerTimer(int(group.trigger))
-        self._save(group, before)
+        self._save(group, stored)
         yield self._rows(key, fired, None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        group = self._load()
-        before = set(group.extents)
+        group, stored = self._load()
         fired = self.fold.event(group, {"type": "task-iteration", "now": expiredTimerInfo.getExpiryTimeInMs()})
         self.handle.registerTimer(int(group.trigger))
-        self._save(group, before)
+        self._save(group, stored)
         yield self._rows(key, [(None, e, s) for e, s in fired], None)
 
     def close(self) -> None:
@@ -113,8 +118,25 @@ def windowed(df: DataFrame, window: Window, groups: Sequence[str] = (), watermar
 
 
 def drain(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what there is and returns its results, from the memory sink."""
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+    """Runs a stream over what there is and returns its results, as Parquet files in the shared folder.
+
+    Each micro-batch writes a folder of its own, anew if it is retried. In complete mode each replaces those before; in
+    the others their rows add up. The session's state store provider is set for the run alone.
+    """
+    spark, root = df.sparkSession, shared.folder(df.sparkSession, name)
+    before = spark.conf.get(STORE)
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/{'all' if mode == 'complete' else epoch}")
+
+    spark.conf.set(STORE, ROCKS)
+    try:
+        query = df.writeStream.foreachBatch(keep).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{root}/checkpoint").start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
+        if checkpoint is None:
+            shared.delete(spark, f"{root}/checkpoint")
+    if not shared.exists(spark, f"{root}/rows"):
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(f"{root}/rows/*")
