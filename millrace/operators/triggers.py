@@ -6,15 +6,19 @@ an extent's segments. Fires are told by fire_seq (the segment that fired) or, at
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.model import Trigger, Window
 from millrace.operators.aggregations import columns_of
+from millrace.operators.sorted import fold_sorted, running
 from millrace.operators.windows import BOUNDS, aggregate, key_ms, with_extents
+from millrace.streaming.fold import Fold, Group
 from millrace.units import standard
 
 
@@ -29,6 +33,25 @@ def _fires(window: Window, trigger: Trigger) -> Column:
     raise ValueError(f"{trigger.on} triggers fire by time, not by segments: use final_state() or streaming")
 
 
+def _running_state(rows: DataFrame, window: Window, extent: Sequence[str], seq: str, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """rows with the state that their extent has after them, in columns __s_<name>, and these names."""
+    name, key = (window.aggregation, None) if isinstance(window.aggregation, str) else window.aggregation
+    s = lambda n: F.col(f"__s_{n}")
+    if name == "count":
+        return running(rows, extent, seq, {"__s_state": ("sum", F.lit(1).cast("long"))}), ["state"]
+    if name == "sum":
+        return running(rows, extent, seq, {"__s_state": ("sum", F.col(key))}).withColumn("__s_state", F.coalesce(s("state"), F.lit(0))), ["state"]
+    if name in ("min", "max"):
+        pick = F.least if name == "min" else F.greatest
+        return running(rows, extent, seq, {"__s_state": (name, F.col(key))}).withColumn("__s_state", pick(F.lit(window.init), s("state"))), ["state"]
+    if name == "average":
+        own = running(rows, extent, seq, {"__s_n": ("sum", F.col(key).isNotNull().cast("long")), "__s_sum": ("sum", F.col(key))})
+        return own.withColumn("__s_average", F.when(s("n") > 0, s("sum") / s("n"))).withColumn("__s_sum", F.coalesce(s("sum"), F.lit(0))), ["n", "sum", "average"]
+    over = W.partitionBy(*extent).orderBy(seq).rowsBetween(W.unboundedPreceding, W.currentRow)
+    state = columns_of(window.aggregation, window.init, columns, (seq,), lambda c: c.over(over))
+    return rows.withColumns({f"__s_{k}": c for k, c in state.items()}), list(state)
+
+
 def replay(df: DataFrame, window: Window, trigger: Trigger, groups: Sequence[str] = (), seq: str = "seq", completion: bool = False) -> DataFrame:
     """One row for each fire of each extent: groups, bounds, fire_seq and the state's columns.
 
@@ -38,29 +61,29 @@ def replay(df: DataFrame, window: Window, trigger: Trigger, groups: Sequence[str
     Sessions fire at completion only, as their extents merge until then.
     """
     if trigger.refinement is not None:
-        raise ValueError(f"trigger {trigger.id}: a refinement changes the state from fire to fire, which only a stream's trigger does")
+        raise ValueError(f"trigger {trigger.id}: a refinement changes the state from fire to fire; use replay_fold()")
     if window.type == "session" or trigger.on == "watermark":
         return final_state(df, window, groups, (seq,))
     columns = [c for c in df.columns if c not in BOUNDS]
-    counted = df.withColumn("__rn", F.row_number().over(W.partitionBy(*groups).orderBy(seq)))
+    counted = running(df, groups, seq, {"__rn": ("sum", F.lit(1).cast("long"))})
     if window.window_key is not None:
         counted = counted.withColumn("__t", key_ms(counted, window.window_key))
     rows = with_extents(counted, window, groups).withColumn("__fire", _fires(window, trigger))
     extent, n = [*groups, *BOUNDS], standard(trigger.threshold)[0] if trigger.on == "segment" else None
     if trigger.post_evictor == "all":
-        ran = F.sum(F.col("__fire").cast("int")).over(W.partitionBy(*extent).orderBy(seq).rowsBetween(W.unboundedPreceding, -1))
-        epoch = F.floor((F.col("__rn") - 1) / n).cast("long") if trigger.fire_all_extents and n else F.coalesce(ran, F.lit(0)).cast("long")
-        rows, extent = rows.withColumn("__epoch", epoch), [*extent, "__epoch"]
-    running = W.partitionBy(*extent).orderBy(seq).rowsBetween(W.unboundedPreceding, W.currentRow)
-    state = columns_of(window.aggregation, window.init, columns, (seq,), lambda c: c.over(running))
-    own = rows.withColumns({f"__s_{k}": c for k, c in state.items()})
+        if trigger.fire_all_extents and n:
+            rows = rows.withColumn("__epoch", F.floor((F.col("__rn") - 1) / n).cast("long"))
+        else:
+            fired = F.col("__fire").cast("long")
+            rows = running(rows, extent, seq, {"__epoch": ("sum", fired)}).withColumn("__epoch", F.col("__epoch") - fired)
+        extent = [*extent, "__epoch"]
+    own, state = _running_state(rows, window, extent, seq, columns)
     released = [F.col(f"__s_{k}").alias(k) for k in state]
     if not trigger.fire_all_extents:
         out = own.where("__fire").select(*groups, *BOUNDS, F.col(seq).alias("fire_seq"), *released)
         if not completion:
             return out
-        last = W.partitionBy(*groups, *BOUNDS).orderBy(F.desc(seq))
-        end = own.withColumn("__last", F.row_number().over(last)).where("__last = 1")
+        end = own.groupBy(*groups, *BOUNDS).agg(F.max_by(F.struct("__fire", *(f"__s_{k}" for k in state)), seq).alias("__end")).select(*groups, *BOUNDS, "__end.*")
         if trigger.post_evictor == "all":
             end = end.where("not __fire")
         return out.union(end.select(*groups, *BOUNDS, F.lit(None).cast(df.schema[seq].dataType).alias("fire_seq"), *released))
@@ -92,6 +115,26 @@ def replay(df: DataFrame, window: Window, trigger: Trigger, groups: Sequence[str
     return out.union(end.select(*groups, *BOUNDS, F.lit(None).cast(df.schema[seq].dataType).alias("fire_seq"), *released))
 
 
+def replay_fold(df: DataFrame, window: Window, trigger: Trigger, groups: Sequence[str] = (), seq: str = "seq", completion: bool = False) -> DataFrame:
+    """What a stream's processor would release, for triggers that window functions can't tell: custom ones, refinements
+    and users' aggregations. groups, bounds, fire_seq and state (JSON), as in streams.
+
+    A group's segments pass through one task in order, one at a time; it holds the group's open extents.
+    """
+    fold = Fold(window, trigger)
+    rows = df
+    if window.window_key is not None:
+        rows = df.withColumn("__t", key_ms(df, window.window_key)).where("__t is not null")
+    schema = T.StructType([*T.StructType.fromDDL("lower_ms long, upper_ms long").fields, T.StructField("fire_seq", df.schema[seq].dataType), *T.StructType.fromDDL("state string").fields])
+    told = lambda fired, at: [{"lower_ms": e[0], "upper_ms": e[1], "fire_seq": at, "state": json.dumps(s, default=str)} for e, s in fired]
+
+    def step(group: Group, row: dict) -> tuple[Group, list[dict]]:
+        t = row.pop("__t", None)
+        return group, told(fold.event(group, {"type": "new-segment", "segment": row, "t": t}), row[seq])
+
+    return fold_sorted(rows, groups, [seq], schema, Group, step, lambda g: told(fold.event(g, {"type": "job-completed"}), None) if completion else [])
+
+
 def final_state(df: DataFrame, window: Window, groups: Sequence[str] = (), seq: Sequence[str] = ()) -> DataFrame:
     """What a watermark trigger that evicts all releases, once for each extent, and what completion releases."""
     return aggregate(df, window, groups, seq)

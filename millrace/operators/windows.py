@@ -6,6 +6,7 @@ their ends, and all are clipped at min_value.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from millrace.model import Window
 from millrace.operators.aggregations import Aggregation, columns_of
+from millrace.operators.sorted import fold_sorted, stretch
 from millrace.units import standard
 
 BOUNDS = ("lower_ms", "upper_ms")
@@ -87,8 +89,13 @@ def aggregate(df: DataFrame, window: Window, groups: Sequence[str] = (), seq: Se
     """The final state of every extent: groups, lower_ms, upper_ms and the state's columns.
 
     The extents of fixed, sliding and global windows are columns, so Spark sums up before it shuffles; sessions over
-    times use session_window, which merges sessions as it aggregates.
+    times use session_window, which merges sessions as it aggregates. The storage strategy "ordered-log" puts segments in
+    the order of the window key, then of seq; "extents" alone keeps the bounds and no state.
     """
+    if "ordered-log" in window.storage_strategy and window.window_key is not None:
+        seq = [window.window_key, *(s for s in seq if s != window.window_key)]
+    if set(window.storage_strategy) == {"extents"}:
+        return with_extents(df, window, groups).select(*groups, *BOUNDS).distinct()
     columns = [c for c in df.columns if c not in BOUNDS]
     keys = [*groups, *BOUNDS]
     if isinstance(window.aggregation, Aggregation):
@@ -125,17 +132,23 @@ def _time_sessions(df: DataFrame, window: Window, groups: Sequence[str], columns
 
 
 def _folded(df: DataFrame, window: Window, keys: Sequence[str], columns: Sequence[str], seq: Sequence[str]) -> DataFrame:
-    """A user's aggregation: each extent's segments, in order, through its fold."""
-    import pandas as pd
+    """A user's aggregation: each extent's segments, in order, through its fold.
 
+    With a merge, an extent is folded in stretches of the first of seq (without seq: in the tasks' own shares) whose
+    states merge in order, so a large extent is spread over tasks. Without one, one task folds it, a row at a time.
+    """
     own: Aggregation = window.aggregation
-    kinds = [T.StructField(k, df.schema[k].dataType) for k in keys]
-    shape = T.StructType([*kinds, *T.StructType.fromDDL(f"state {own.schema}").fields])
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        state = own.init() if own.init else window.init
-        for r in (rows.sort_values(list(seq)) if seq else rows)[list(columns)].to_dict("records"):
-            state = own.apply(state, own.create(r))
-        return pd.DataFrame([[*key, state]], columns=[*keys, "state"])
-
-    return df.groupBy(*keys).applyInPandas(run, shape)
+    fresh = lambda: own.init() if own.init else window.init
+    only = lambda r: {c: r[c] for c in columns}
+    state = T.StructType.fromDDL(f"state {own.schema}")
+    part = (stretch(df, seq[0]) if seq else F.spark_partition_id()) if own.merge else None
+    if part is None:
+        return fold_sorted(df, keys, seq, state, fresh, lambda s, r: (own.apply(s, own.create(only(r))), []), lambda s: [{"state": s}])
+    packed = T.StructType.fromDDL("__state binary")
+    parts = fold_sorted(df.withColumn("__b", part), [*keys, "__b"], seq, packed, fresh, lambda s, r: (own.apply(s, own.create(only(r))), []), lambda s: [{"__state": pickle.dumps(s)}])
+
+    def join(s: list, r: dict) -> tuple[list, list]:
+        more = pickle.loads(r["__state"])
+        return [own.merge(s[0], more) if s else more], []
+
+    return fold_sorted(parts, keys, ["__b"], state, list, join, lambda s: [{"state": s[0]}])

@@ -12,9 +12,11 @@ from millrace.functions import resolve
 from millrace.model import Job, Task, Trigger
 from millrace.model import Window as JobWindow
 from millrace.operators import flow, triggers
+from millrace.operators.aggregations import Aggregation
 from millrace.operators.grouping import grouped
 from millrace.operators.transform import ERROR, OLD, segments
 from millrace.streaming import processors
+from millrace.streaming.fold import CustomTrigger
 from millrace.units import standard
 from millrace.validate import validate
 
@@ -52,7 +54,12 @@ def released(df: DataFrame, task: Task, window: JobWindow, trigger: Trigger) ->
             return processors.triggered(df, window, trigger, groups, task.seq)
         delay = f"{standard(trigger.delay)[0]} milliseconds" if trigger.delay else task.watermark_delay
         return processors.windowed(df, window, groups, delay)
-    if trigger.on in ("watermark", "timer"):
+    final = trigger.on in ("watermark", "timer")
+    if trigger.refinement is not None or isinstance(trigger.on, CustomTrigger) or isinstance(window.aggregation, Aggregation) and not final:
+        if task.seq is None:
+            raise ValueError(f"task {task.name}: trigger {trigger.id} needs the order of arrival, in seq")
+        return triggers.replay_fold(df, window, trigger, groups, task.seq, completion=True)
+    if final:
         return triggers.final_state(df, window, groups, (task.seq,) if task.seq else ())
     if task.seq is None:
         raise ValueError(f"task {task.name}: trigger {trigger.id} needs the order of arrival, in seq")

@@ -261,8 +261,16 @@ def ordered_log_fold(spark, sf):
     return out.select("user_id", F.array_join("state", ">").alias("path"))
 
 
+def _rise(a: dict, b: dict) -> dict:
+    """Steps of two runs of values, one after the other: a run is its first and last value and its largest step up."""
+    if a["n"] == 0 or b["n"] == 0:
+        return b if a["n"] == 0 else a
+    steps = [a["rise"], b["rise"]] + ([b["first"] - a["last"]] if a["last"] is not None and b["first"] is not None else [])
+    return {"n": a["n"] + b["n"], "first": a["first"], "last": b["last"], "rise": max(steps)}
+
+
 #: A user's aggregation: the largest step up from one event's value to the next.
-RISE = Aggregation(create=lambda s: s["value"], apply=lambda a, v: {"last": v, "rise": a["rise"] if a["last"] is None or v is None else max(a["rise"], v - a["last"])}, schema="struct<last:double,rise:double>", init=lambda: {"last": None, "rise": 0.0})
+RISE = Aggregation(create=lambda s: {"n": 1, "first": s["value"], "last": s["value"], "rise": 0.0}, apply=_rise, merge=_rise, schema="struct<n:long,first:double,last:double,rise:double>", init=lambda: {"n": 0, "first": None, "last": None, "rise": 0.0})
 
 
 @query("WITH d AS (SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM events) SELECT user_id, round(greatest(0, coalesce(max(d), 0)), 4) AS rise FROM d GROUP BY user_id")

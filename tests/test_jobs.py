@@ -95,7 +95,7 @@ def test_conditions_beside_one_that_raises(spark):
     assert rows == {"a": [(n, None) for n in (2, 6, 8)], "b": [(n, "four" if n == 4 else None) for n in range(1, 10)], "err": [(4, "four")]}
 
 
-def test_refinement_is_no_batch_feature(spark):
+def test_refinement_is_no_window_function(spark):
     df = spark.createDataFrame([(1, 1)], "seq long, n long")
     with pytest.raises(ValueError, match="refinement"):
         replay(df, Window("w", "t", "global", "count"), Trigger("g", "w", "segment", threshold=(1, "elements"), refinement=lambda s: s))
