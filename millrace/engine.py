@@ -13,9 +13,12 @@ from typing import Any
 
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from millrace import shared
 from millrace.model import Job
 from millrace.plans.planner import Plan, plan
+from millrace.streaming.processors import ROCKS, STORE, unpacked
 from millrace.validate import InvalidJob, validate
 
 
@@ -63,6 +66,21 @@ class Engine:
 
     def __init__(self, spark: SparkSession, checkpoints: str | None = None):
         self.spark, self.checkpoints, self.runs = spark, checkpoints, {}
+        self.log: list[dict] = []
+        self.subscribers: list[Callable[[dict], None]] = []
+
+    # -- log
+
+    def _tell(self, entry: str, job_id: str, **more: Any) -> None:
+        self.log.append({"id": len(self.log), "entry": entry, "job_id": job_id} | more)
+        for call in self.subscribers:
+            call(self.log[-1])
+
+    def subscribe(self, call: Callable[[dict], None]) -> None:
+        """call for each entry of the engine's log, those so far first."""
+        for entry in self.log:
+            call(entry)
+        self.subscribers.append(call)
 
     # -- submission
 
@@ -81,6 +99,7 @@ class Engine:
         except InvalidJob as e:
             return {"success": False, "problems": e.problems}
         self.runs[id_] = run
+        self._tell("submit-job", id_)
         run.thread = InheritableThread(target=self._run, args=(run, sinks_mode, trigger or {"availableNow": True}), daemon=True)
         run.thread.start()
         return {"success": True, "job_id": id_}
@@ -94,14 +113,19 @@ class Engine:
             context: dict[str, dict] = {t.name: {"task": t.name, "job_id": run.id} for t in run.job.catalog}
             try:
                 self._attempt(run, context, mode, trigger)
-                run.state = "completed" if run.state == "running" else run.state
+                if run.state == "running":
+                    run.state = "completed"
+                    self._tell("job-completed", run.id)
             except BaseException as e:
                 run.error = e
                 handlers = [h for t in run.job.catalog for h in self._calls(run.job, t.name, "handle_exception")]
                 # The first that doesn't defer decides; without one the job is killed.
                 verdict = next((v for h in handlers if (v := h(context, None, "task", e)) != "defer"), "kill")
-                if verdict != "restart" and run.state == "running":
+                if verdict == "restart" and run.state == "running":
+                    self._tell("restart-job", run.id, error=str(e))
+                elif run.state == "running":
                     run.state = "killed"
+                    self._tell("kill-job", run.id, error=str(e))
             finally:
                 for t in run.job.catalog:
                     for call in self._calls(run.job, t.name, "after_task_stop"):
@@ -135,13 +159,28 @@ class Engine:
             if df.isStreaming:
                 writer = df.writeStream.foreachBatch(one).trigger(**trigger).outputMode(mode)
                 if self.checkpoints:
-                    writer = writer.option("checkpointLocation", f"{self.checkpoints}/{run.id}/{name}")
-                run.queries.append(writer.start())
+                    writer = writer.option("checkpointLocation", self._resumed(run, name))
+                before = self.spark.conf.get(STORE)
+                self.spark.conf.set(STORE, ROCKS)
+                try:
+                    run.queries.append(writer.start())
+                finally:
+                    self.spark.conf.set(STORE, before)
             else:
                 one(df)
         for q in run.queries:
             q.awaitTermination()
 
+    def _resumed(self, run: Run, name: str) -> str:
+        """The checkpoint folder of an output's stream. A job with a resume point begins with a copy of the offsets and state
+        of the same output of the job that it names."""
+        own = f"{self.checkpoints}/{run.id}/{name}"
+        from_ = {how.get("job-id") for how in (run.job.resume_point or {}).values() if how["mode"] == "resume"}
+        if from_ and not shared.exists(self.spark, own):
+            shared.copy(self.spark, f"{self.checkpoints}/{from_.pop()}/{name}", own)
+            self._tell("resume-job", run.id, task=name)
+        return own
+
     # -- control
 
     def await_job(self, job_id: str, timeout: float | None = None) -> bool | str:
@@ -155,6 +194,7 @@ class Engine:
         if run is None or run.state != "running":
             return False
         run.state = "killed"
+        self._tell("kill-job", job_id)
         self.spark.sparkContext.cancelJobGroup(job_id)
         for q in run.queries:
             q.stop()
@@ -174,6 +214,26 @@ class Engine:
         """Where a job's streams have come to: the coordinates that a resume point names."""
         return {q.id: {"batch": (q.lastProgress or {}).get("batchId"), "checkpoint": f"{self.checkpoints}/{job_id}"} for q in self.runs[job_id].queries}
 
+    def named_snapshot(self, name: str) -> tuple[str, dict] | None:
+        """The latest job whose metadata has this job-name, and its snapshot."""
+        named = [i for i, r in self.runs.items() if r.job.metadata.get("job-name") == name]
+        return (named[-1], self.snapshot(named[-1])) if named else None
+
+    def resume_point(self, job_id: str) -> dict:
+        """What a job like this one takes as its resume_point to go on where it has come to."""
+        job = self.runs[job_id].job
+        names = [*(t.name for t in job.catalog if t.type == "input"), *(w.id for w in job.windows)]
+        return {n: {"mode": "resume", "job-id": job_id} for n in names}
+
+    def window_state(self, job_id: str, output: str) -> DataFrame:
+        """The extents that a job's stream to an output holds, from its last committed batch: group (a struct), lower_ms, upper_ms
+        (null for the global extent) and state (JSON)."""
+        got = self.spark.read.format("statestore").option("stateVarName", "extents").load(f"{self.checkpoints}/{job_id}/{output}")
+        lower, upper = F.col("user_map_key.lower"), F.col("user_map_key.upper")
+        open_ = (lower == 0) & (upper == -1)
+        state = unpacked("user_map_value.state").alias("state")
+        return got.select(F.col("key").alias("group"), F.when(~open_, lower).alias("lower_ms"), F.when(~open_, upper).alias("upper_ms"), state)
+
     def gc(self) -> int:
         """Forgets jobs that have ended; returns how many."""
         done = [i for i, r in self.runs.items() if r.state != "running"]
@@ -184,5 +244,4 @@ class Engine:
     def clear_checkpoints(self, job_id: str) -> None:
         """Deletes the checkpoint folders of a job, through Spark's file systems."""
         if self.checkpoints:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.checkpoints}/{job_id}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            shared.delete(self.spark, f"{self.checkpoints}/{job_id}")

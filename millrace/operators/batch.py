@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace import shared
+
 
 def remove(df: DataFrame, condition: Column) -> DataFrame:
     return df.where(~F.coalesce(condition, F.lit(False)))
@@ -46,7 +48,11 @@ def cartesian(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def iterate(df: DataFrame, step: Callable[[DataFrame], DataFrame], done: Callable[[DataFrame], bool], rounds: int = 100) -> DataFrame:
-    """step until done, at most so many rounds; each round's result is checkpointed in spark.checkpoint.dir."""
+    """step until done, at most so many rounds; each round's result is checkpointed in spark.checkpoint.dir, or where
+    that is unset, on a single machine, in a folder of our own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared.folder(df.sparkSession, "rounds"))
     for _ in range(rounds):
         if done(df):
             break

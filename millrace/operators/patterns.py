@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.model import Window
+from millrace.operators.windows import BOUNDS, aggregate, key_ms, with_extents
+
 #: Bytes up to which lookup() broadcasts its table.
 BROADCAST = 64 << 20
 
@@ -32,6 +35,20 @@ def pair_arrivals(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     return merged.where("__n = 2").select(*keys, *rest)
 
 
+def windowed_join(a: DataFrame, b: DataFrame, keys: Sequence[str], window: Window) -> DataFrame:
+    """Pairs of segments of two inputs with equal keys in the same extent, with its bounds. Sessions are those of
+    both inputs' keys together. Other columns must differ in name."""
+    if window.type == "session":
+        both = a.select(*keys, window.window_key).union(b.select(*keys, window.window_key))
+        spans = aggregate(both, Window("w", window.task, "session", "count", window_key=window.window_key, timeout_gap=window.timeout_gap), keys).drop("state")
+        at = lambda df: df.withColumn("__t", key_ms(df, window.window_key)).join(spans, [*keys]).where(F.col("__t").between(F.col("lower_ms"), F.col("upper_ms"))).drop("__t")
+        return at(a).join(at(b).drop(window.window_key), [*keys, *BOUNDS])
+    b = with_extents(b, window, keys)
+    b = b if window.window_key is None else b.drop(window.window_key)
+    a = with_extents(a, window, keys)
+    return a.join(b.drop(*BOUNDS), list(keys)) if window.type == "global" else a.join(b, [*keys, *BOUNDS])
+
+
 def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Enrichment from a table, broadcast where its estimated size is below BROADCAST; else joined by shuffle."""
     return df.join(F.broadcast(table) if size_of(table) <= BROADCAST else table, list(keys), how)

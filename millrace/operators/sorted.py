@@ -26,6 +26,15 @@ def stretch(df: DataFrame, seq: str) -> Column | None:
     return F.shiftright(F.unix_micros(F.col(seq)), 36) if isinstance(kind, T.TimestampType) else None
 
 
+def match(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """a joined with b where their keys are equal, nulls too; columns as in a join by names."""
+    b = b.withColumnsRenamed({k: f"__same{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__same{i}"))
+    return a.join(b, same, how).drop(*(f"__same{i}" for i in range(len(keys))))
+
+
 def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema: T.StructType, begin: Callable[[], Any], step: Callable[[Any, dict], tuple[Any, list[dict]]], end: Callable[[Any], list[dict]]) -> DataFrame:
     """Each group's rows, as dicts in order, through a fold: step gives the next state and rows to hand on, end the last rows.
     A task sorts its groups (Spark spills) and holds one state at a time. The keys are put before what the fold makes."""
@@ -70,12 +79,9 @@ def running(df: DataFrame, keys: Sequence[str], seq: str, states: dict[str, tupl
     cut = df.withColumn("__b", number)
     parts = cut.groupBy(*keys, "__b").agg(*(fold[k](c).alias(f"__p_{n}") for n, (k, c) in states.items()))
     earlier = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    before = parts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__b").alias("__kb"), *(fold[k](f"__p_{n}").over(earlier).alias(f"__q_{n}") for n, (k, _) in states.items()))
+    before = parts.select(*keys, "__b", *(fold[k](f"__p_{n}").over(earlier).alias(f"__q_{n}") for n, (k, _) in states.items()))
     own = cut.withColumns({f"__r_{n}": fold[k](c).over(upto(W.partitionBy(*keys, "__b").orderBy(seq))) for n, (k, c) in states.items()})
-    same = F.col("__b").eqNullSafe(F.col("__kb"))
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    both = own.join(before, same)
+    both = match(own, before, [*keys, "__b"])
     total = {}
     for n, (k, _) in states.items():
         a, b = F.col(f"__q_{n}"), F.col(f"__r_{n}")

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from millrace.model import Trigger, Window
 from millrace.operators.aggregations import columns_of
-from millrace.operators.sorted import fold_sorted, running
+from millrace.operators.sorted import fold_sorted, match, running
 from millrace.operators.windows import BOUNDS, aggregate, key_ms, with_extents
 from millrace.streaming.fold import Fold, Group
 from millrace.units import standard
@@ -100,17 +100,17 @@ def replay(df: DataFrame, window: Window, trigger: Trigger, groups: Sequence[str
     else:
         nxt = F.lead("__k").over(W.partitionBy(*extent).orderBy("__k"))
         spans = ends.withColumn("__next", nxt)
-        spans = spans.join(total, list(groups), "left") if groups else spans.crossJoin(F.broadcast(total))
+        spans = match(spans, total, groups, "left") if groups else spans.crossJoin(F.broadcast(total))
         spans = spans.withColumn("__to", F.coalesce(F.col("__next") - 1, F.col("__fires")))
     spans = spans.where("__k <= __to").withColumn("__fire_k", F.explode(F.sequence("__k", "__to")))
-    out = spans.select(*groups, *BOUNDS, "__fire_k", *released).join(fired, [*groups, "__fire_k"])
+    out = match(spans.select(*groups, *BOUNDS, "__fire_k", *released), fired, [*groups, "__fire_k"])
     out = out.select(*groups, *BOUNDS, "fire_seq", *state)
     if not completion:
         return out
     last = W.partitionBy(*groups, *BOUNDS).orderBy(F.desc("__k"))
     end = ends.withColumn("__end", F.row_number().over(last)).where("__end = 1")
     if trigger.post_evictor == "all":
-        end = end.join(total, list(groups)) if groups else end.crossJoin(F.broadcast(total))
+        end = match(end, total, groups) if groups else end.crossJoin(F.broadcast(total))
         end = end.where("__k > __fires")
     return out.union(end.select(*groups, *BOUNDS, F.lit(None).cast(df.schema[seq].dataType).alias("fire_seq"), *released))
 

@@ -20,8 +20,8 @@ def materialized(make: Callable[[], Sequence[Any]], schema: str) -> Callable[[Sp
 
 
 def text_file(path: str) -> Callable[[SparkSession], DataFrame]:
-    """One segment for each line, in the field line."""
-    return lambda spark: spark.read.text(path).withColumnRenamed("value", "line")
+    """One segment for each line, in the field line. Lines end with a line feed."""
+    return lambda spark: spark.read.option("lineSep", "\n").text(path).withColumnRenamed("value", "line")
 
 
 def files(path: str, format: str = "parquet", **options: Any) -> Callable[[SparkSession], DataFrame]:

@@ -7,7 +7,7 @@ import pickle
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -76,6 +76,11 @@ class WindowProcessor(StatefulProcessor):
         pass
 
 
+def unpacked(state: str) -> Column:
+    """A column of stored states as JSON."""
+    return F.udf(lambda s: json.dumps(pickle.loads(s), default=str), "string", useArrow=True)(state)
+
+
 def triggered(df: DataFrame, window: Window, trigger: Trigger, groups: Sequence[str], seq: str | None = None) -> DataFrame:
     """Releases of a trigger over a stream (or a table): groups, lower_ms, upper_ms, fire_seq, state (JSON).
 

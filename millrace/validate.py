@@ -208,6 +208,10 @@ def _rest(job: Job):
         for n, how in job.resume_point.items():
             if how.get("mode") not in ("resume", "initialize"):
                 yield f"resume point of {n}: mode is resume or initialize"
+            elif how["mode"] == "resume" and not how.get("job-id"):
+                yield f"resume point of {n} needs the job-id that it resumes"
+        if len({(how.get("mode"), how.get("job-id") if how.get("mode") == "resume" else None) for how in job.resume_point.values()}) > 1:
+            yield "a resume point takes inputs and windows from one job, or initializes all: a stream's offsets and state are kept together"
 
 
 def validate(job: Job) -> Job:

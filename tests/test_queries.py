@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from millrace import queries
+from millrace import job_queries as queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
