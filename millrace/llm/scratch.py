@@ -31,7 +31,7 @@ class Scratch:
     """Cuts lineage: keep() writes a DataFrame as Parquet to the shared folder and reads it back.
 
     A lost executor then costs at most the stage that was running. Shuffle files that led to a table are
-    deleted as soon as it is written. drop() removes a table that no
+    deleted as soon as it is written. Tables are compressed with zstd, as they hold whole texts. drop() removes a table that no
     later step reads. Tables that a returned DataFrame still reads stay until the cluster cleans
     its checkpoint folder.
     """
@@ -45,7 +45,7 @@ class Scratch:
         before = self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         finally:
             self.spark.conf.set(CLEANUP, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
