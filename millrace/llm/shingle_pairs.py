@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -19,6 +19,9 @@ from millrace.llm.simhash import shingle_hashes
 SAMPLE, COMMON = 10_000, 50_000
 #: Texts that share a shingle and are compared at once; more are first joined through leaders, then dealt in chunks.
 BUCKET, CHUNK = 64, 1024
+#: Of those compared at once, so many are joined to pairs. More are rows with bitmaps, compared inside tasks: from about a dozen
+#: on these are fewer bytes.
+PAIRS = 12
 #: Rounds in which the rows of large buckets meet one leader each.
 ROUNDS = 2
 #: Bits of the table that tells which ids can't be in a list.
@@ -72,15 +75,15 @@ def _sets(words: int):
             for i in range(0, whole.num_rows, 500):
                 batch = whole.slice(i, 500)
                 sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(s) for s in sets], pa.int64()), _lists(sets)], names=["id", "k", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(s) for s in sets], pa.int64()), _lists(sets)], names=["id", "k", "x"])
 
     return run
 
 
 def _common(own: DataFrame, words: int) -> list[int]:
     share = max(1, own.count() // SAMPLE)
-    counted = own.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).mapInArrow(_sets(words), "id long, k long, shingles array<long>")
-    counted = counted.select(F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("n")).where("n > 2")
+    counted = own.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).mapInArrow(_sets(words), "id long, k long, x array<long>")
+    counted = counted.select(F.explode("x").alias("x")).groupBy("x").agg(F.count("*").alias("n")).where("n > 2")
     return [r.x for r in counted.orderBy(F.desc("n"), "x").limit(COMMON).collect()]
 
 
@@ -115,10 +118,66 @@ def _met(a: DataFrame, b: DataFrame, on: list[str], nodes: DataFrame, scratch: S
     return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    for s in "ab":
-        pairs = pairs.join(sets.select(F.col("k").alias(s), F.col("shingles").alias(f"x{s}")), s)
-    return pairs.where(9 * F.size(F.array_intersect("xa", "xb")) >= 4 * (F.size("xa") + F.size("xb"))).select("a", "b")
+def _maps(words: int):
+    """Parity bitmaps that grow with the set: of the power of two of bits from twice its size on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                batch = whole.slice(i, 500)
+                sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+                size = [max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64 for s in sets]
+                maps = [np.packbits((np.bincount((s % np.uint64(b)).astype(np.int64), minlength=b) & 1).astype(np.uint8)).tobytes() for s, b in zip(sets, size, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(maps, pa.binary())], names=["id", "k", "n", "x"])
+
+    return run
+
+
+def _differing(x: bytes, y: bytes) -> int:
+    """Bits in which two parity bitmaps differ, the longer one folded to the other's bits."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum(dtype=np.int64))
+
+
+def _fit_by_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = [9 * _differing(x, y) <= n + m for n, x, m, y in zip(*(batch.column(c).to_pylist() for c in ("na", "xa", "nb", "xb")), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+
+
+def _verifier(texts: DataFrame, reps: DataFrame, words: int, scratch: Scratch) -> Callable[[DataFrame], DataFrame]:
+    """pairs (a, b), a table -> those at 0.8, a table.
+
+    Sets are made from the texts of these pairs alone, and only where bitmaps as large as the sets leave a doubt,
+    so what is shuffled follows the links and not the texts that some common shingle brings together.
+    """
+
+    def made(pairs: DataFrame, make, schema: str) -> DataFrame:
+        wanted = scratch.keep(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct().join(reps, "k").select("k", F.col("id").alias("own")))
+        held = _listed(texts, wanted.select("own"), "id").where("__listed").select("id", "text").mapInArrow(make(words), f"id long, k long, {schema}")
+        out = scratch.keep(held.join(wanted, "k").where("id = own").dropDuplicates(["k"]).drop("id", "own"))
+        scratch.drop(wanted)
+        return out
+
+    def beside(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        for s in "ab":
+            pairs = pairs.join(of.withColumnsRenamed({c: s if c == "k" else f"{c}{s}" for c in of.columns}), s)
+        return pairs
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        if pairs.isEmpty():
+            return pairs
+        maps = made(pairs, _maps, "n int, x binary")
+        near = scratch.keep(beside(pairs, maps).select("a", "b", "na", "xa", "nb", "xb").mapInArrow(_fit_by_maps, "a long, b long"))
+        scratch.drop(maps)
+        if near.isEmpty():
+            return near
+        sets = made(near, _sets, "x array<long>")
+        out = scratch.keep(beside(near, sets).where(9 * F.size(F.array_intersect("xa", "xb")) >= 4 * (F.size("xa") + F.size("xb"))).select("a", "b"))
+        scratch.drop(sets, near)
+        return out
+
+    return verified
 
 
 def _cell_pairs(k: np.ndarray, n: np.ndarray, pos: np.ndarray, c: np.ndarray, left: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +222,14 @@ def _in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[s] for f in found])) for s in (0, 1)], names=["a", "b"])
 
 
-def _hot_links(hot: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+def _found(dealt: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs that meet in cells (x, y, z) and may be at 0.8, a table."""
+    bits = [f"s{i}" for i in range(WORDS)]
+    cells = dealt.join(nodes.select("k", *bits), "k").select("x", "y", "z", "k", "n", "pos", "c", "at", *bits)
+    return scratch.keep(cells.repartition("x", "y", "z").sortWithinPartitions("x", "y", "z").mapInArrow(_in_cells, "a long, b long").distinct())
+
+
+def _hot_links(hot: DataFrame, links: DataFrame, nodes: DataFrame, verified: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """Links that join what the pairs within large buckets join, those of `links` included.
 
     A group of near copies would give pairs in the square of its size, so its rows first meet leaders. In each
@@ -177,8 +243,12 @@ def _hot_links(hot: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataFra
     spent: list[DataFrame] = []
 
     def placed() -> tuple[DataFrame, DataFrame]:
-        """The rows with their component, in buckets of more than one, and these buckets' largest components."""
-        of = connected_components(links, scratch).withColumnRenamed("node", "k")
+        """The rows with their component, in buckets of more than one, and these buckets' largest components. Links become
+        stars of components, which later rounds settle at once."""
+        nonlocal links
+        before, links = links, scratch.keep(connected_components(links, scratch).select(F.col("node").alias("a"), F.col("component").alias("b")))
+        scratch.drop(before)
+        of = links.toDF("k", "component")
         rows = scratch.keep(hot.join(of, "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component"))
         most = rows.groupBy("x", "c").agg(F.count("*").alias("m")).groupBy("x").agg(F.sum("m").alias("all"), F.max(F.struct("m", "c")).alias("top")).where("all > top.m")
         most = scratch.keep(most.select("x", F.col("top.c").alias("top"), F.ceil(F.col("top.m") / CHUNK).cast("int").alias("tops"), F.ceil((F.col("all") - F.col("top.m")) / CHUNK).cast("int").alias("others")))
@@ -186,20 +256,19 @@ def _hot_links(hot: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataFra
         return rows.join(most, "x").withColumn("is_top", F.col("c") == F.col("top")), most
 
     for turn in range(ROUNDS):
-        rows, _ = placed()
+        rows, most = placed()
+        if most.isEmpty():
+            return links
         leaders = rows.where("is_top").groupBy("x").agg(F.min(F.struct(F.xxhash64("x", "k", F.lit(turn)).alias("h"), "k", "n", "pos")).alias("l")).select("x", "l.k", "l.n", "l.pos")
         chosen = rows.where("not is_top").groupBy("k").agg(F.min(F.struct(F.xxhash64("x", F.lit(turn)).alias("h"), "x", "n", "pos")).alias("l")).select("l.x", "k", "l.n", "l.pos")
-        before, links = links, scratch.keep(links.union(_verified(_met(chosen, leaders, ["x"], nodes, scratch, unseen="least(pa, pb)"), sets)))
+        before, links = links, scratch.keep(links.union(verified(_met(chosen, leaders, ["x"], nodes, scratch, unseen="least(pa, pb)"))))
         scratch.drop(before, *spent)
         spent.clear()
     dealt, _ = placed()
     dealt = dealt.withColumn("at", F.when(F.col("is_top"), F.col("others") + F.pmod(F.xxhash64("k"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("k"), F.col("others"))).cast("int"))
     last = F.when(F.col("is_top"), F.col("others") - 1).otherwise(F.col("others") + F.col("tops") - 1)
-    bits = [f"s{i}" for i in range(WORDS)]
-    dealt = dealt.join(nodes.select("k", *bits), "k").withColumn("to", F.explode(F.sequence(F.lit(0), last)))
-    dealt = dealt.withColumns({"y": F.least("at", "to"), "z": F.greatest("at", "to")}).select("x", "y", "z", "k", "n", "pos", "c", "at", *bits)
-    found = dealt.repartition("x", "y", "z").sortWithinPartitions("x", "y", "z").mapInArrow(_in_cells, "a long, b long").distinct()
-    return links.union(_verified(scratch.keep(found), sets))
+    dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), last))).withColumns({"y": F.least("at", "to"), "z": F.greatest("at", "to")})
+    return links.union(verified(_found(dealt, nodes, scratch)))
 
 
 def near_texts(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,27 +292,27 @@ def near_texts(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col
     rows = nodes.select("k", "n", F.posexplode("prefix").alias("pos", "x"))
     counts = scratch.keep(rows.groupBy("x").agg(F.count("*").alias("m")).where("m > 1"))
     shared = scratch.keep(rows.join(counts, "x"))
-    crowded = shared.where(f"m > {BUCKET}").groupBy("k").agg(F.count("*").cast("int").alias("h"))
+    few = min(PAIRS, BUCKET)
+    crowded = shared.where(f"m > {few}").groupBy("k").agg(F.count("*").cast("int").alias("h"))
     slim = nodes.withColumn("p", F.size("prefix")).drop("prefix", "id").join(crowded, "k", "left").withColumn("h", F.coalesce("h", F.lit(0)))
     slim = scratch.keep(slim)
     scratch.drop(nodes, counts)
     nodes = slim
-    small, hot = (shared.where(c).drop("m") for c in (f"m <= {BUCKET}", f"m > {BUCKET}"))
+    small, some, hot = (shared.where(c).drop("m") for c in (f"m <= {few}", f"m > {few} and m <= {BUCKET}", f"m > {BUCKET}"))
     pairs = _met(small, small, ["x"], nodes, scratch, "k_a < k_b")
-    wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).union(hot.select("k")).distinct().join(reps, "k")
-    wanted = scratch.keep(wanted)
-    held = _listed(texts, wanted.select("id"), "id").where("__listed").select("id", "text")
-    held = held.join(wanted.select("id").distinct(), "id", "left_semi").mapInArrow(_sets(words), "id long, k long, shingles array<long>")
-    sets = scratch.keep(held.join(wanted, ["id", "k"], "left_semi").dropDuplicates(["id", "k"]).select("k", "shingles"))
-    links = scratch.keep(_verified(pairs, sets))
+    zero = F.lit(0)
+    cells = _found(some.withColumns({"y": zero, "z": zero, "at": zero, "c": F.col("k")}), nodes, scratch)
+    pairs = scratch.keep(pairs.union(cells).distinct())
+    verified = _verifier(texts, reps, words, scratch)
+    links = verified(pairs)
     if not hot.isEmpty():
-        links = scratch.keep(_hot_links(hot, links, nodes, sets, scratch))
+        links = scratch.keep(_hot_links(hot, links, nodes, verified, scratch))
     for s in "ab":
         links = links.join(reps.select(F.col("k").alias(s), F.col("id").alias(f"id_{s}")), s)
     of = connected_components(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), scratch)
     named = scratch.keep(reps.join(of, reps.id == of.node, "left").select("k", F.coalesce("component", "id").alias("component_id")))
     out = scratch.keep(ids.join(named, "k").select(F.col("id").alias(id_col), "component_id"))
-    scratch.drop(ids, nodes, shared, pairs, wanted, sets)
+    scratch.drop(ids, nodes, shared, pairs)
     return out
 
 

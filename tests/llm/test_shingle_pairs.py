@@ -63,3 +63,28 @@ def test_stage_equals_brute_force(spark, monkeypatch, bucket, chunk):
 
 def test_empty_table(spark):
     assert corpus_pipeline.dedup_near(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
+
+
+def test_stage_equals_brute_force_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(shingle_pairs, "PAIRS", 2)
+    test_stage_equals_brute_force(spark, monkeypatch, 64, 1024)
+
+
+def test_sets_follow_links_not_common_shingles(spark, monkeypatch):
+    """Texts that share a passage and are far from 0.8 are told apart before their sets are shuffled."""
+    made, keep = [], shingle_pairs.Scratch.keep
+
+    def kept_sets(self, df):
+        out = keep(self, df)
+        made.extend(r for r in out.collect() if out.columns[0] == "k" and out.dtypes[1][1] == "array<bigint>")
+        return out
+
+    monkeypatch.setattr(shingle_pairs.Scratch, "keep", kept_sets)
+    monkeypatch.setattr(shingle_pairs, "SAMPLE", 1)  # so the passage is not known to be common
+    rng = random.Random(6)
+    passage = " ".join(rng.choices(WORDS, k=60))
+    texts = [passage + " " + " ".join(rng.choices(WORDS, k=rng.randint(900, 1000))) for _ in range(80)]
+    texts += [edited(rng, texts[0], 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, "").orderBy("doc_id").collect()] == list(range(80))
+    assert len(made) == 2
