@@ -1,9 +1,8 @@
-"""Best-fit packing of tokenized documents, partitions first, then a tree over what is left."""
+"""Best-fit packing of tokenized documents, planned from the counts of their sizes."""
 
 from __future__ import annotations
 
 import json
-import math
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -11,15 +10,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.scratch import Scratch, process_cache
 
-#: Items of a partition in the first round, and partitions that meet in each later one.
-ITEMS, FAN_IN = 50_000, 8
-#: A bin with less room than this leaves the tree at once.
-SLACK = 4
+#: Pieces that are numbered together.
+ITEMS = 50_000
 _MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -99,56 +96,91 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _round(capacity: int, slack: int, number: int):
+def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """Best fit in decreasing size of so many items of each size, by runs of like bins. Rows (size, rank, base, fill, bin):
+    items of a size from this rank on go `fill` to a bin, from offset `base`, into bins numbered on from `bin`.
+
+    An item goes to the fullest bin that holds it, which is then still the fullest for the next of its size, so each bin takes all that
+    fit. A size splits one run at most and opens two, so runs are bounded by the sizes, however many items there are.
+    """
+    open_: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    rows, opened = [], 0
+    for size in sorted((s for s in counts if counts[s]), reverse=True):
+        rank, left = 0, counts[size]
+        while left:
+            room = min((r for r in open_ if r >= size), default=capacity)
+            fill = min(room // size, left)
+            take = left // fill
+            if open_.get(room):
+                first, n = open_[room].pop()
+                take = min(take, n)
+                if n > take:
+                    open_[room].append((first + take, n - take))
+            else:
+                first, opened = opened, opened + take
+            if not open_[room]:
+                del open_[room]
+            rows.append((size, rank, capacity - room, fill, first))
+            rank, left = rank + take * fill, left - take * fill
+            if rest := room - fill * size:
+                open_[rest].append((first, take))
+    return np.array(rows, dtype=np.int64).reshape(-1, 5)
+
+
+def _numbered(per_task: int):
+    """Adds to each piece its block, of at most per_task pieces of a task, and its place among those of its size there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, seen = TaskContext.get().partitionId(), 0, defaultdict(int)
+        for batch in batches:
+            blocks, nth = [], []
+            for size in batch.column(batch.schema.get_field_index("length")).to_pylist():
+                if at % per_task == 0:
+                    seen.clear()
+                blocks.append(part << 32 | at // per_task)
+                nth.append(seen[size])
+                seen[size] += 1
+                at += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64()), pa.array(nth, pa.int64())], names=[*batch.schema.names, "block", "nth"])
+
+    return run
+
+
+def _placed(rows: np.ndarray):
+    """Pieces with their rank among all of their size -> their sequence and offset by the plan."""
+    order = np.lexsort((rows[:, 1], rows[:, 0]))
+    size, rank, base, fill, first = rows[order].T
+    starts = {int(s): int(i) for i, s in zip(*np.unique(size, return_index=True)[::-1], strict=True)}
+    ends = {s: int(np.searchsorted(size, s, "right")) for s in starts}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, held = [], []
         for batch in batches:
-            sizes += batch.column(0).to_pylist()
-            held += batch.column(1).to_pylist()
-        part = TaskContext.get().partitionId()
-        bins = best_fit(sizes, capacity)
-        for at in range(0, len(bins), 4096):
-            some = bins[at : at + 4096]
-            filled = [sum(sizes[i] for i in b) for b in some]
-            ids = [number << 56 | part << 32 | at + k for k in range(len(some))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(filled, pa.int64()), pa.array([[m for i in b for m in held[i]] for b in some], pa.list_(_MEMBER)), pa.array(ids, pa.int64()), pa.array([capacity - f < slack for f in filled])],
-                names=["size", "members", "sequence_id", "done"],
-            )
+            n, r = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
+            row = np.zeros(len(n), dtype=np.int64)
+            for s in np.unique(n).tolist():
+                own = n == s
+                row[own] = starts[s] + np.searchsorted(rank[starts[s] : ends[s]], r[own], "right") - 1
+            into = r - rank[row]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(first[row] + into // fill[row]), pa.array(base[row] + into % fill[row] * n)], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
     return run
 
 
-def pack(items: DataFrame, scratch: Scratch, capacity: int = 1024, slack: int = SLACK, per_task: int = ITEMS) -> DataFrame:
+def pack(items: DataFrame, scratch: Scratch, capacity: int = 1024, per_task: int = ITEMS) -> DataFrame:
     """items: rows of pieces(). Returns them with sequence_id and offset.
 
-    Full pieces are sequences of their own. The rest is packed best-fit within partitions; bins that
-    have less than `slack` room leave, and the underfull ones are the items of the next round,
-    where FAN_IN partitions meet in one, until one is left. Where sizes don't combine, what is
-    left stays large; partitions then aren't merged beyond per_task items, with which integer sizes
-    of at most `capacity` gain nothing more. Each round is a table, so that it isn't run again.
+    One best fit over all pieces, whatever their number and partitions: sizes are integers, so it is planned from the
+    count of each (at most `capacity` rows), and each piece finds its place by its rank among those of its size.
+    The rank is its place in its block and the counts of the blocks before.
     """
-    full = items.where(F.col("length") == capacity)
-    done = [full.select(*full.columns, (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    todo = items.where(F.col("length") < capacity).select(F.col("length").alias("size"), F.array(F.struct(*items.columns)).alias("members"))
-    n = max(1, math.ceil(todo.count() / per_task))
-    members = "array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long>>"
-    for number in range(64):
-        last = n == 1
-        out = scratch.keep(todo.repartition(n).mapInArrow(_round(capacity, capacity + 1 if last else slack, number), f"size long, members {members}, sequence_id long, done boolean"))
-        left = out.where("not done")
-        rest = 0 if last else left.count()
-        settled = not last and rest > n * per_task // 4  # sizes that don't combine: more merging gains nothing
-        gone = out if settled else out.where("done")
-        at = F.transform(F.sequence(F.lit(1), F.size("members")), lambda i: F.struct(F.get("members", i - 1).alias("m"), F.aggregate(F.slice("members", 1, i - 1), F.lit(0).cast("long"), lambda s, m: s + m["length"]).alias("offset")))
-        done.append(gone.select("sequence_id", F.inline(at)).select("m.*", "sequence_id", "offset"))
-        if last or settled:
-            break
-        todo, n = left.select("size", "members"), max(1, min(math.ceil(n / FAN_IN), math.ceil(rest / per_task) or 1) if rest < per_task else math.ceil(n / FAN_IN))
-    packed = done[0]
-    for part in done[1:]:
-        packed = packed.union(part)
-    return packed
+    schema = ", ".join(f"{c} {t}" for c, t in items.dtypes)
+    held = scratch.keep(items.mapInArrow(_numbered(per_task), f"{schema}, block long, nth long"))
+    counts = scratch.keep(held.groupBy("length", "block").agg(F.count("*").alias("n")))
+    rows = plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
+    before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    ranked = held.join(first, ["length", "block"]).select(*items.columns, (F.col("first") + F.col("nth")).alias("rank"))
+    return ranked.mapInArrow(_placed(rows), f"{schema}, sequence_id long, offset long")
 
 
 def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = 1024, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,8 +188,8 @@ def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = 1024, end
     sequence_id and offset; sequences hold at most `capacity` ids without gaps.
 
     Null or empty text: the end id alone. Null id: packed like any other. Repeated rows: each is
-    packed. Empty table: no rows. Ties between sizes go by the order of rows, which changes ids
-    of sequences but not what the rules promise. Other columns are not looked at.
+    packed. Empty table: no rows. Ties between sizes go by the order of rows, which changes what shares a sequence
+    but not how many there are or how full they are. Other columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    return pack(scratch.keep(pieces(docs, vocabulary, capacity, end, id_col, text_col)), scratch, capacity)
+    return pack(pieces(docs, vocabulary, capacity, end, id_col, text_col), scratch, capacity)

@@ -229,6 +229,36 @@ def test_best_fit_places_all():
     assert len(bins) <= math.ceil(sum(sizes) / 1024) * 1.02
 
 
+def test_plan_is_best_fit():
+    rng = random.Random(8)
+    for most in (1024, 400, 30):
+        sizes = [rng.randint(1, most) for _ in range(3000)] + [1024] * 5
+        rows = packing.plan({s: sizes.count(s) for s in set(sizes)}, 1024).tolist()
+        used = {}
+        for i, (size, rank, base, fill, first) in enumerate(rows):
+            end = rows[i + 1][1] if i + 1 < len(rows) and rows[i + 1][0] == size else sizes.count(size)
+            for r in range(end - rank):
+                b, at = first + r // fill, base + r % fill * size
+                assert used.get(b, 0) == at
+                used[b] = at + size
+        assert sorted(used.values()) == sorted(sum(sizes[i] for i in b) for b in packing.best_fit(sizes, 1024))
+    assert len(packing.plan({s: 10**12 + s for s in range(1, 1025)}, 1024)) < 10_000
+
+
+def test_packing_does_not_depend_on_blocks(spark):
+    """Sizes that don't combine with like ones: the number and fill of sequences are those of one best fit, however tasks are cut."""
+    rng = random.Random(9)
+    sizes = [rng.choice([400, 600, 620, 350, 3, 1024]) for _ in range(900)]
+    items = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    want = sorted(sum(sizes[i] for i in b) for b in packing.best_fit(sizes, 1024))
+    for per_task, parts in ((40, 1), (7, 5), (50_000, 3)):
+        bins = {}
+        for r in packing.pack(items.repartition(parts), Scratch(spark, "test"), per_task=per_task).collect():
+            bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert sorted(sum(n for _, n in b) for b in bins.values()) == want
+        assert all(sorted(b)[0][0] == 0 and all(x + n == y for (x, n), (y, _) in zip(sorted(b), sorted(b)[1:], strict=False)) for b in bins.values())
+
+
 # -- I-Match
 
 
