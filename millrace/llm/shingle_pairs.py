@@ -1,4 +1,4 @@
-"""Near duplicates by the Jaccard similarity of word shingles, exactly: a prefix-filtered join that verifies every pair."""
+"""Near duplicates by the Jaccard similarity of word shingles, exactly: SimHash links and a prefix-filtered join, every pair verified."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
 from millrace.llm.scratch import Scratch
-from millrace.llm.simhash import shingle_hashes
+from millrace.llm.simhash import fingerprint, link_fingerprints, shingle_hashes
 
 #: Documents whose shingles are counted, and shingles taken from them, to put common ones last. They set an order only: any order finds the same pairs.
 SAMPLE, COMMON = 10_000, 50_000
@@ -28,7 +28,7 @@ ROUNDS = 2
 BITS = 1 << 24
 #: Longs in a text's parity bitmap.
 WORDS = 8
-_ROW = "id long, k long, n int, " + ", ".join(f"s{i} long" for i in range(WORDS))
+_ROW = "id long, k long, fp long, n int, " + ", ".join(f"s{i} long" for i in range(WORDS))
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -46,7 +46,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _prefixes(words: int, common: list[int]):
-    """Of each text: id, key, size and bitmap of its set, and the first shingles, of which any set at 0.8 or more holds one."""
+    """Of each text: id, key of its set, SimHash, size and bitmap of the set, and the first shingles, of which any set at 0.8 or more holds one."""
     rank = np.array(common, dtype=np.int64).view(np.uint64)  # commonest first
     order = np.argsort(rank)
     ranked = rank[order]
@@ -60,11 +60,12 @@ def _prefixes(words: int, common: list[int]):
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 batch = whole.slice(i, 500)
-                sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+                hashes = [np.array(shingle_hashes(t, words), dtype=np.uint64) for t in batch.column(1).to_pylist()]
+                sets, fps = [np.unique(h) for h in hashes], np.array([fingerprint(h) for h in hashes], dtype=np.uint64).view(np.int64)
                 bits = [np.packbits((np.bincount((s % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8)).view(np.int64) for s in sets]
                 maps = np.array(bits).reshape(-1, WORDS)
-                columns = [batch.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(np.ascontiguousarray(maps[:, j])) for j in range(WORDS)), _lists([first(s) for s in sets])]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "k", "n", *(f"s{j}" for j in range(WORDS)), "prefix"])
+                columns = [batch.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array(fps), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(np.ascontiguousarray(maps[:, j])) for j in range(WORDS)), _lists([first(s) for s in sets])]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "k", "fp", "n", *(f"s{j}" for j in range(WORDS)), "prefix"])
 
     return run
 
@@ -222,6 +223,13 @@ def _in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[s] for f in found])) for s in (0, 1)], names=["a", "b"])
 
 
+def _alike(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs that SimHash links: sets of one fingerprint with one of them, and fingerprints that blocks and pivot tables join."""
+    fps = scratch.keep(nodes.groupBy("fp").agg(F.min("k").alias("rep")))
+    pairs = nodes.join(fps, "fp").select(F.col("k").alias("a"), F.col("rep").alias("b")).union(link_fingerprints(fps, scratch).select("a", "b"))
+    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _found(dealt: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs that meet in cells (x, y, z) and may be at 0.8, a table."""
     bits = [f"s{i}" for i in range(WORDS)]
@@ -276,7 +284,8 @@ def near_texts(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col
     sets of shingles have a Jaccard similarity of 0.8 or more, its own included.
 
     Shingles as in SimHash: A-Z lower-cased, fewer words make one shingle, texts without words are alike.
-    Rows that share an id are one document. Every pair at 0.8 is found: of each set in one common
+    Rows that share an id are one document. SimHash (2 differing bits) proposes links, which large groups of near
+    copies then need not be compared for; it misses most edits, so a join finds the others. Every pair at 0.8 is found: of each set in one common
     order the first fifth and one shingle more are dealt by shingle, and two sets at 0.8 share one of
     these. Sizes, places and bitmaps only rule out pairs that can't reach 0.8; the rest are verified
     on whole sets. Equal sets are one node.
@@ -302,7 +311,7 @@ def near_texts(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col
     pairs = _met(small, small, ["x"], nodes, scratch, "k_a < k_b")
     zero = F.lit(0)
     cells = _found(some.withColumns({"y": zero, "z": zero, "at": zero, "c": F.col("k")}), nodes, scratch)
-    pairs = scratch.keep(pairs.union(cells).distinct())
+    pairs = scratch.keep(pairs.union(cells).union(_alike(nodes, scratch)).distinct())
     verified = _verifier(texts, reps, words, scratch)
     links = verified(pairs)
     if not hot.isEmpty():

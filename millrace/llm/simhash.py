@@ -38,9 +38,12 @@ def shingle_hashes(text: str | None, words: int) -> list[int]:
 
 def simhash(text: str | None, words: int = 3) -> int:
     """64 bits, each set where it is set in over half of the shingles' hashes; no words: 0."""
-    if not (hashes := shingle_hashes(text, words)):
-        return 0
-    h, ones = np.array(hashes, dtype="<u8"), np.zeros(64, dtype=np.int64)
+    return fingerprint(np.array(shingle_hashes(text, words), dtype="<u8"))
+
+
+def fingerprint(h: np.ndarray) -> int:
+    """The SimHash of hashes (little-endian, repeats included); of none: 0."""
+    ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])

@@ -88,3 +88,20 @@ def test_sets_follow_links_not_common_shingles(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, "").orderBy("doc_id").collect()] == list(range(80))
     assert len(made) == 2
+
+
+def test_simhash_proposes_links(spark, monkeypatch):
+    """SimHash alone finds near copies, and only those at 0.8 become links."""
+    offered, alike = [], shingle_pairs._alike
+
+    def noted(nodes, scratch):
+        pairs = scratch.keep(alike(nodes, scratch))
+        offered.extend(pairs.collect())
+        return pairs
+
+    monkeypatch.setattr(shingle_pairs, "_alike", noted)
+    words = " ".join(f"u{i}" for i in range(2000))
+    rows = [(1, words), (2, words + " end"), (3, "a b c d e"), (4, "a b c d e a b c d e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, "").collect()) == kept(rows)
+    assert offered
