@@ -45,8 +45,18 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(a.view(np.int64) for a in arrays)])))
 
 
+def _parity(s: np.ndarray, bits: int) -> np.ndarray:
+    """Bytes of a set's parity bitmap of so many bits."""
+    return np.packbits((np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+
+
+def _map(s: np.ndarray) -> bytes:
+    """A parity bitmap that grows with the set: of the power of two of bits from twice its size on."""
+    return _parity(s, max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64).tobytes()
+
+
 def _prefixes(words: int, common: list[int]):
-    """Of each text: id, key of its set, SimHash, size and bitmap of the set, and the first shingles, of which any set at 0.8 or more holds one."""
+    """Of each text: id, key of its set, SimHash, size and bitmaps (of one size, and as large as the set) of the set, and the first shingles, of which any set at 0.8 or more holds one."""
     rank = np.array(common, dtype=np.int64).view(np.uint64)  # commonest first
     order = np.argsort(rank)
     ranked = rank[order]
@@ -62,10 +72,9 @@ def _prefixes(words: int, common: list[int]):
                 batch = whole.slice(i, 500)
                 hashes = [np.array(shingle_hashes(t, words), dtype=np.uint64) for t in batch.column(1).to_pylist()]
                 sets, fps = [np.unique(h) for h in hashes], np.array([fingerprint(h) for h in hashes], dtype=np.uint64).view(np.int64)
-                bits = [np.packbits((np.bincount((s % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8)).view(np.int64) for s in sets]
-                maps = np.array(bits).reshape(-1, WORDS)
-                columns = [batch.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array(fps), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(np.ascontiguousarray(maps[:, j])) for j in range(WORDS)), _lists([first(s) for s in sets])]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "k", "fp", "n", *(f"s{j}" for j in range(WORDS)), "prefix"])
+                maps = np.array([_parity(s, 64 * WORDS).view(np.int64) for s in sets]).reshape(-1, WORDS)
+                columns = [batch.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array(fps), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(np.ascontiguousarray(maps[:, j])) for j in range(WORDS)), pa.array([_map(s) for s in sets], pa.binary()), _lists([first(s) for s in sets])]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "k", "fp", "n", *(f"s{j}" for j in range(WORDS)), "map", "prefix"])
 
     return run
 
@@ -88,14 +97,14 @@ def _common(own: DataFrame, words: int) -> list[int]:
     return [r.x for r in counted.orderBy(F.desc("n"), "x").limit(COMMON).collect()]
 
 
-def _listed(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """rows with the column __listed, false only where id_col is in no row of ids (or null). Its size is fixed, so what
-    follows need not shuffle all texts to meet a part of them."""
+def _listed(rows: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose id_col may be in ids, all that are included; by left_anti the others, those without an id included.
+    The table that tells has a fixed size, so what follows need not shuffle all texts to meet a part of them, and only
+    the rows asked for leave the join."""
     at = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(BITS))
     bits = ids.select(at(ids.columns[0]).alias("h")).groupBy(F.expr("h div 64").alias("__w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("__bits"))
-    hit = F.expr("(shiftright(__bits, cast(__h % 64 as int)) & 1L) = 1")
-    out = rows.withColumn("__h", at(id_col)).withColumn("__w", F.expr("__h div 64")).join(F.broadcast(bits), "__w", "left")
-    return out.withColumn("__listed", F.coalesce(hit, F.lit(False)) & F.col(id_col).isNotNull()).drop("__h", "__w", "__bits")
+    hit = F.expr("__h div 64 = __w and (shiftright(__bits, cast(__h % 64 as int)) & 1L) = 1")
+    return rows.withColumn("__h", F.when(F.col(id_col).isNotNull(), at(id_col))).join(F.broadcast(bits), hit, how).drop("__h")
 
 
 def _met(a: DataFrame, b: DataFrame, on: list[str], nodes: DataFrame, scratch: Scratch, extra: str = "true", unseen: str = "least(ha, hb)") -> DataFrame:
@@ -119,21 +128,6 @@ def _met(a: DataFrame, b: DataFrame, on: list[str], nodes: DataFrame, scratch: S
     return out
 
 
-def _maps(words: int):
-    """Parity bitmaps that grow with the set: of the power of two of bits from twice its size on."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                batch = whole.slice(i, 500)
-                sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
-                size = [max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64 for s in sets]
-                maps = [np.packbits((np.bincount((s % np.uint64(b)).astype(np.int64), minlength=b) & 1).astype(np.uint8)).tobytes() for s, b in zip(sets, size, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(maps, pa.binary())], names=["id", "k", "n", "x"])
-
-    return run
-
-
 def _differing(x: bytes, y: bytes) -> int:
     """Bits in which two parity bitmaps differ, the longer one folded to the other's bits."""
     a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
@@ -146,16 +140,20 @@ def _fit_by_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
 
-def _verifier(texts: DataFrame, reps: DataFrame, words: int, scratch: Scratch) -> Callable[[DataFrame], DataFrame]:
+def _verifier(texts: DataFrame, reps: DataFrame, maps: DataFrame, words: int, scratch: Scratch) -> Callable[[DataFrame], DataFrame]:
     """pairs (a, b), a table -> those at 0.8, a table.
 
     Sets are made from the texts of these pairs alone, and only where bitmaps as large as the sets leave a doubt,
-    so what is shuffled follows the links and not the texts that some common shingle brings together.
+    so what is shuffled follows the links and not the texts that some common shingle brings together. The bitmaps were made
+    with the prefixes, so each call reads the texts once, or not at all.
     """
 
-    def made(pairs: DataFrame, make, schema: str) -> DataFrame:
-        wanted = scratch.keep(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct().join(reps, "k").select("k", F.col("id").alias("own")))
-        held = _listed(texts, wanted.select("own"), "id").where("__listed").select("id", "text").mapInArrow(make(words), f"id long, k long, {schema}")
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("k")).union(pairs.select("b"))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        wanted = scratch.keep(ends(pairs).distinct().join(reps, "k").select("k", F.col("id").alias("own")))
+        held = _listed(texts, wanted.select("own"), "id").select("id", "text").mapInArrow(_sets(words), "id long, k long, x array<long>")
         out = scratch.keep(held.join(wanted, "k").where("id = own").dropDuplicates(["k"]).drop("id", "own"))
         scratch.drop(wanted)
         return out
@@ -168,12 +166,12 @@ def _verifier(texts: DataFrame, reps: DataFrame, words: int, scratch: Scratch) -
     def verified(pairs: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             return pairs
-        maps = made(pairs, _maps, "n int, x binary")
-        near = scratch.keep(beside(pairs, maps).select("a", "b", "na", "xa", "nb", "xb").mapInArrow(_fit_by_maps, "a long, b long"))
-        scratch.drop(maps)
+        held = scratch.keep(_listed(maps, ends(pairs), "k"))
+        near = scratch.keep(beside(pairs, held).select("a", "b", "na", "xa", "nb", "xb").mapInArrow(_fit_by_maps, "a long, b long"))
+        scratch.drop(held)
         if near.isEmpty():
             return near
-        sets = made(near, _sets, "x array<long>")
+        sets = sets_of(near)
         out = scratch.keep(beside(near, sets).where(9 * F.size(F.array_intersect("xa", "xb")) >= 4 * (F.size("xa") + F.size("xb"))).select("a", "b"))
         scratch.drop(sets, near)
         return out
@@ -293,17 +291,18 @@ def near_texts(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     scratch = Scratch(spark, "shingle_pairs")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    own = scratch.keep(texts.mapInArrow(_prefixes(words, _common(texts, words)), f"{_ROW}, prefix array<long>"))
+    own = scratch.keep(texts.mapInArrow(_prefixes(words, _common(texts, words)), f"{_ROW}, map binary, prefix array<long>"))
     reps = scratch.keep(own.groupBy("k").agg(F.min("id").alias("id")))
     nodes = scratch.keep(own.join(reps, ["id", "k"]).dropDuplicates(["id", "k"]))
     ids = scratch.keep(own.select("id", "k"))
     scratch.drop(own)
+    maps = scratch.keep(nodes.select("k", "n", F.col("map").alias("x")))
     rows = nodes.select("k", "n", F.posexplode("prefix").alias("pos", "x"))
     counts = scratch.keep(rows.groupBy("x").agg(F.count("*").alias("m")).where("m > 1"))
     shared = scratch.keep(rows.join(counts, "x"))
     few = min(PAIRS, BUCKET)
     crowded = shared.where(f"m > {few}").groupBy("k").agg(F.count("*").cast("int").alias("h"))
-    slim = nodes.withColumn("p", F.size("prefix")).drop("prefix", "id").join(crowded, "k", "left").withColumn("h", F.coalesce("h", F.lit(0)))
+    slim = nodes.withColumn("p", F.size("prefix")).drop("prefix", "map", "id").join(crowded, "k", "left").withColumn("h", F.coalesce("h", F.lit(0)))
     slim = scratch.keep(slim)
     scratch.drop(nodes, counts)
     nodes = slim
@@ -312,7 +311,7 @@ def near_texts(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col
     zero = F.lit(0)
     cells = _found(some.withColumns({"y": zero, "z": zero, "at": zero, "c": F.col("k")}), nodes, scratch)
     pairs = scratch.keep(pairs.union(cells).union(_alike(nodes, scratch)).distinct())
-    verified = _verifier(texts, reps, words, scratch)
+    verified = _verifier(texts, reps, maps, words, scratch)
     links = verified(pairs)
     if not hot.isEmpty():
         links = scratch.keep(_hot_links(hot, links, nodes, verified, scratch))
@@ -321,7 +320,7 @@ def near_texts(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col
     of = connected_components(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), scratch)
     named = scratch.keep(reps.join(of, reps.id == of.node, "left").select("k", F.coalesce("component", "id").alias("component_id")))
     out = scratch.keep(ids.join(named, "k").select(F.col("id").alias(id_col), "component_id"))
-    scratch.drop(ids, nodes, shared, pairs)
+    scratch.drop(ids, nodes, maps, shared, pairs)
     return out
 
 
@@ -331,6 +330,5 @@ def keep_one(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
     marked = near_texts(docs, words, id_col, text_col)
     gone = marked.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     gone = Scratch(docs.sparkSession, "shingle_gone").keep(gone)
-    marked = _listed(docs, gone, id_col)
-    stay = marked.where("not __listed").select(*docs.columns)
-    return stay.union(marked.where("__listed").join(gone, id_col, "left_anti").select(*docs.columns))
+    stay = _listed(docs, gone, id_col, "left_anti")
+    return stay.union(_listed(docs, gone, id_col).join(gone, id_col, "left_anti").select(*docs.columns))

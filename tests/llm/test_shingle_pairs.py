@@ -105,3 +105,34 @@ def test_simhash_proposes_links(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, "").collect()) == kept(rows)
     assert offered
+
+
+def test_picked_texts_alone_leave_the_join(spark):
+    docs = spark.createDataFrame([*((i, f"t{i}") for i in range(1000)), (None, "none")], "doc_id long, text string")
+    ids = spark.createDataFrame([(7,), (8,), (7,), (None,)], "id long")
+    rows = lambda how: shingle_pairs._listed(docs, ids, "doc_id", *how).collect()
+    picked, others = rows([]), rows(["left_anti"])
+    assert {7, 8} <= {r.doc_id for r in picked} and len(picked) < 10 and None not in {r.doc_id for r in picked}
+    assert None in {r.doc_id for r in others} and len(picked) + len(others) == 1001
+
+
+def test_each_verification_reads_the_texts_once(spark, monkeypatch, tmp_path):
+    """Large buckets take more verifications, and each of them one pass over all texts, not two."""
+    reads, sets, keep = [], [], shingle_pairs.Scratch.keep
+
+    def noted(self, df):
+        if any(str(tmp_path) in f for f in df.inputFiles()):
+            (sets if df.columns == ["k", "x"] else reads).append(df.columns)
+        return keep(self, df)
+
+    monkeypatch.setattr(shingle_pairs.Scratch, "keep", noted)
+    monkeypatch.setattr(shingle_pairs, "BUCKET", 3)
+    monkeypatch.setattr(shingle_pairs, "CHUNK", 4)
+    rng = random.Random(8)
+    base = " ".join(rng.choices(WORDS, k=120))
+    rows = list(enumerate([edited(rng, base, rng.randint(0, 4)) for _ in range(40)]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/docs")
+    docs = spark.read.parquet(f"file://{tmp_path}/docs")
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, "").collect()) == kept(rows)
+    assert len(sets) > 1
+    assert [c[:2] for c in reads] == [["id", "k"]]
