@@ -15,16 +15,20 @@ from pyspark.sql.streaming import StatefulProcessor
 from millrace import shared
 from millrace.model import Trigger, Window
 from millrace.operators.windows import key_ms
+from millrace.streaming.arrival import ordered
 from millrace.streaming.fold import GLOBAL, Fold, Group
 
 #: Spark's setting of the state store, and the one that processors need.
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Releases, and characters of their states, that a task hands on at once.
+ROWS, CHARS = 10_000, 1 << 22
 
 
 class WindowProcessor(StatefulProcessor):
     """Holds a group's extents in a map and the trigger's own state in a value, pickled, so states keep their types. Late
-    segments re-open or update their extents; nothing is dropped. Rows of a batch are taken in the order of seq."""
+    segments re-open or update their extents; nothing is dropped. Rows of a batch are taken in the order of seq, one at a
+    time, and releases are handed on as they come, so a task holds a group's extents, not its rows."""
 
     def __init__(self, fold: Fold, seq: str | None, keys: Sequence[str]):
         self.fold, self.seq, self.keys = fold, seq, list(keys)
@@ -50,27 +54,40 @@ class WindowProcessor(StatefulProcessor):
                 self.extents.updateValue(at(e), (made,))
         self.own.update((pickle.dumps(group.trigger),))
 
-    def _rows(self, key: tuple, fired: list, seq) -> pd.DataFrame:
-        return pd.DataFrame([[*key, e[0], e[1], s, json.dumps(state, default=str)] for s, e, state in fired], columns=[*self.keys, "lower_ms", "upper_ms", "fire_seq", "state"])
+    def _frames(self, key: tuple, fired: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        """Releases, (seq, extent, state) each, in frames of bounded size; the last may be empty."""
+        made, chars = [], 0
+        for at, extent, state in fired:
+            made.append([*key, *extent, at, json.dumps(state, default=str)])
+            chars += len(made[-1][-1])
+            if len(made) >= ROWS or chars >= CHARS:
+                yield self._frame(made)
+                made, chars = [], 0
+        yield self._frame(made)
+
+    def _frame(self, made: list[list]) -> pd.DataFrame:
+        return pd.DataFrame(made, columns=[*self.keys, "lower_ms", "upper_ms", "fire_seq", "state"])
+
+    def _fired(self, group: Group, rows: Iterator[pd.DataFrame], timers) -> Iterator[tuple]:
+        for r in ordered(rows, self.seq):
+            t = r.pop("__t", None)
+            event = {"type": "new-segment", "segment": r, "t": t, "now": timers.getCurrentProcessingTimeInMs() if self.fold.trigger.on == "timer" else 0}
+            for e, s in self.fold.event(group, event):
+                yield r.get(self.seq), e, s
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        (group, stored), fired = self._load(), []
-        got = pd.concat(list(rows))
-        for r in (got.sort_values(self.seq) if self.seq else got).to_dict("records"):
-            t = r.pop("__t", None)
-            event = {"type": "new-segment", "segment": r, "t": t, "now": timerValues.getCurrentProcessingTimeInMs() if self.fold.trigger.on == "timer" else 0}
-            fired += [(r.get(self.seq), e, s) for e, s in self.fold.event(group, event)]
+        group, stored = self._load()
+        yield from self._frames(key, self._fired(group, rows, timerValues))
         if self.fold.trigger.on == "timer" and group.trigger is not None:
             self.handle.registerTimer(int(group.trigger))
         self._save(group, stored)
-        yield self._rows(key, fired, None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         group, stored = self._load()
         fired = self.fold.event(group, {"type": "task-iteration", "now": expiredTimerInfo.getExpiryTimeInMs()})
         self.handle.registerTimer(int(group.trigger))
         self._save(group, stored)
-        yield self._rows(key, [(None, e, s) for e, s in fired], None)
+        yield from self._frames(key, ((None, e, s) for e, s in fired))
 
     def close(self) -> None:
         pass
