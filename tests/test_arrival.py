@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from millrace.model import Trigger, Window
-from millrace.streaming import arrival
+from millrace.streaming import arrival, processors
 from millrace.streaming.fold import Fold
 from millrace.streaming.processors import WindowProcessor
 
@@ -70,6 +70,13 @@ def test_segment_trigger_holds_few_rows(small):
     assert got == [(s, str(s + 1)) for s in range(6000) if (s + 1) % 9 == 0] and most < 20
 
 
+def test_punctuation_hands_releases_on_in_frames(small, monkeypatch):
+    monkeypatch.setattr(processors, "ROWS", 50)
+    trigger = Trigger("g", "w", "punctuation", pred=lambda t, event: event["type"] == "new-segment" and event["segment"]["user_id"] % 10 == 0)
+    got, sizes, most, _ = released(trigger)
+    assert got == [(s, str(s + 1)) for s in range(0, 6000, 10)] and most < 20 and len(sizes) >= 12 and max(sizes) == 50
+
+
 @pytest.mark.parametrize("seqs", [[3, None, 1, 3, 2, None, 1], list(range(50, 0, -1)), [5], []], ids=["ties and nulls", "backwards", "one", "none"])
 @pytest.mark.parametrize("run", [1, 10**9])
 def test_order_is_a_stable_sort_with_nulls_last(small, monkeypatch, seqs, run):
