@@ -1,5 +1,6 @@
 """Streams' segments in the order of arrival: the same rows as a sort in memory, and few of them held at once."""
 
+import pickle
 import random
 import weakref
 
@@ -8,7 +9,7 @@ import pytest
 
 from millrace.model import Trigger, Window
 from millrace.streaming import arrival, processors
-from millrace.streaming.fold import Fold
+from millrace.streaming.fold import CustomTrigger, Fold
 from millrace.streaming.processors import WindowProcessor
 
 
@@ -77,6 +78,14 @@ def test_punctuation_hands_releases_on_in_frames(small, monkeypatch):
     assert got == [(s, str(s + 1)) for s in range(0, 6000, 10)] and most < 20 and len(sizes) >= 12 and max(sizes) == 50
 
 
+def test_custom_trigger_steps_in_order_over_few_rows(small, monkeypatch):
+    monkeypatch.setattr(processors, "ROWS", 500)
+    second = CustomTrigger((0, -1), lambda t, state, event: (state[0] + 1, event["segment"]["event_id"]), lambda t, state, event, extent: state[0] % 2 == 0 and state[1] == state[0] - 1)
+    got, sizes, most, processor = released(Trigger("g", "w", second))
+    assert got == [(s, str(s + 1)) for s in range(1, 6000, 2)] and most < 20 and max(sizes) == 500
+    assert pickle.loads(processor.own.get()[0]) == (6000, 5999)
+
+
 @pytest.mark.parametrize("seqs", [[3, None, 1, 3, 2, None, 1], list(range(50, 0, -1)), [5], []], ids=["ties and nulls", "backwards", "one", "none"])
 @pytest.mark.parametrize("run", [1, 10**9])
 def test_order_is_a_stable_sort_with_nulls_last(small, monkeypatch, seqs, run):
