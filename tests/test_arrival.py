@@ -86,6 +86,12 @@ def test_custom_trigger_steps_in_order_over_few_rows(small, monkeypatch):
     assert pickle.loads(processor.own.get()[0]) == (6000, 5999)
 
 
+def test_window_state_is_the_whole_groups_over_few_rows(small):
+    _, _, most, processor = released(Trigger("g", "w", "segment", threshold=(5, "elements")), rows=103)
+    assert {k: pickle.loads(v[0]) for k, v in processor.extents.items()} == {(0, -1): 6180} and most < 20
+    assert pickle.loads(processor.own.get()[0]) == 5
+
+
 @pytest.mark.parametrize("seqs", [[3, None, 1, 3, 2, None, 1], list(range(50, 0, -1)), [5], []], ids=["ties and nulls", "backwards", "one", "none"])
 @pytest.mark.parametrize("run", [1, 10**9])
 def test_order_is_a_stable_sort_with_nulls_last(small, monkeypatch, seqs, run):
