@@ -2,6 +2,7 @@
 
 import pickle
 import random
+import tracemalloc
 import weakref
 
 import pandas as pd
@@ -92,6 +93,25 @@ def test_window_state_is_the_whole_groups_over_few_rows(small):
     assert pickle.loads(processor.own.get()[0]) == 5
 
 
+def test_memory_does_not_grow_with_a_group(small, monkeypatch):
+    """Peaks of a segment trigger, whose releases grow with the group, too, over 3000 and 12,000 rows."""
+    monkeypatch.setattr(processors, "ROWS", 50)
+
+    def peak(n: int) -> int:
+        processor = WindowProcessor(Fold(Window("w", "t", "global", "count"), Trigger("g", "w", "segment", threshold=(5, "elements"))), "event_id", ["event_type"])
+        processor.init(Handle())
+        frames = (pd.DataFrame({"event_id": [(i * 100 + j) * 7919 % (n * 100) for j in range(100)], "event_type": "a"}) for i in range(n))
+        tracemalloc.start()
+        try:
+            assert sum(map(len, processor.handleInputRows(("a",), frames, None))) == n * 20
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    peak(5)
+    assert peak(120) < 2 * peak(30)
+
+
 @pytest.mark.parametrize("seqs", [[3, None, 1, 3, 2, None, 1], list(range(50, 0, -1)), [5], []], ids=["ties and nulls", "backwards", "one", "none"])
 @pytest.mark.parametrize("run", [1, 10**9])
 def test_order_is_a_stable_sort_with_nulls_last(small, monkeypatch, seqs, run):
